@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_rules
+from . import bpe, decontaminate, near_duplicates, quality_rules
 
 
 
@@ -25,6 +25,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op3_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"), *byte_bpe())
 
@@ -34,7 +38,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2, "op8_bpe": op8, "op10_decontamination": op10}
+    return {"op2_quality_rules": op2, "op3_near_duplicates": op3, "op8_bpe": op8, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

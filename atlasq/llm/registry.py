@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_duplicates, quality_rules
+from . import bpe, decontaminate, katz, near_duplicates, quality_rules
 
 
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.op1_katz(table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2, "op3_near_duplicates": op3, "op8_bpe": op8, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op8_bpe": op8, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

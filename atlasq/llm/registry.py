@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, katz, near_duplicates, quality_rules
+from . import bpe, decontaminate, katz, language_id, near_duplicates, quality_rules
 
 
 
@@ -33,6 +33,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.op3_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def piece_file() -> str:
+    """The SentencePiece vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op6_language_id(table(spark, sf_dir, "documents"), piece_file())
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"), *byte_bpe())
 
@@ -42,7 +53,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op8_bpe": op8, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op6_language_id": op6, "op8_bpe": op8, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

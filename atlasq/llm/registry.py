@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, katz, language_id, near_duplicates, quality_rules
+from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, quality_rules
 
 
 
@@ -52,12 +52,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"), *byte_bpe())
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.op9_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op5_chat": op5, "op6_language_id": op6, "op8_bpe": op8, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op5_chat": op5, "op6_language_id": op6, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

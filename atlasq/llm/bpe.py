@@ -16,18 +16,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pre-tokens that a Python worker remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+#: Lengths at which the states of a pre-token's beginning are remembered for others.
+STEMS = (7,)
+#: Texts whose results are held at once.
+PART = 500
 #: In place of the halves of a token that no merge makes.
 UNREACHABLE = (-1, -1)
 
@@ -51,12 +53,14 @@ class Tokenizer:
         self.bytes_of = dict(zip(self.rank.values(), self.rank))
         self.pattern = regex.compile(pattern)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
+        self.stable: dict[int, bool] = {}
         ends: dict[bytes, set[int]] = {}
         for token in self.rank:
-            ends.setdefault(token[-2:], set()).add(len(token))
-        #: By the last two bytes: how long the tokens are that end so, longest first.
-        self.lengths = {k: tuple(sorted({*v, *((1,) if k[-1:] in self.rank else ())}, reverse=True)) for k, v in ends.items()}
+            ends.setdefault(token[-3:], set()).add(len(token))
+        #: By the last three bytes, or two where no longer token ends so: how long the tokens are that do, longest first.
+        self.lengths = {k: tuple(sorted({*v, *(n for n in (1, 2) if k[-n:] in self.rank)}, reverse=True)) for k, v in ends.items()}
+        self.unreachable = frozenset(t for t in self.bytes_of if self.split(t) == UNREACHABLE)
         self.memory = _Memory(self)
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -76,12 +80,9 @@ class Tokenizer:
 
     def is_stable(self, left: int, right: int) -> bool:
         """Whether the pair of neighbours is what encoding their joint bytes gives."""
-        key = left << 32 | right
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) >= REMEMBERED:
-                self.stable.clear()
-            known = self.stable[key] = self._survives(left, right)
+        if len(self.stable) >= REMEMBERED:
+            self.stable.clear()
+        known = self.stable[left << 32 | right] = self._survives(left, right)
         return known
 
     def _survives(self, left: int, right: int) -> bool:
@@ -102,15 +103,17 @@ class Tokenizer:
     def append(self, state: PrefixState, more: bytes) -> PrefixState:
         """Extends a pre-token; earlier prefixes keep their entries."""
         state.data += more
-        data, last, token_of, lengths, halves = bytes(state.data), state.last, self.rank.get, self.lengths, self.halves
+        data, last, token_of, lengths, known = bytes(state.data), state.last, self.rank.get, self.lengths.get, self.stable.get
         for end in range(len(last) + 1, len(data) + 1):
-            for size in lengths.get(data[max(0, end - 2) : end], (1,)):
+            for size in lengths(data[max(0, end - 3) : end]) or lengths(data[max(0, end - 2) : end], (1,)):
                 start = end - size
-                if start < 0 or (token := token_of(data[start:end])) is None:
+                if start < 0 or (token := token_of(data[start:end])) is None or token in self.unreachable:
                     continue
-                if (halves[token] if token in halves else self.split(token)) == UNREACHABLE:
-                    continue
-                if not start or self.is_stable(last[start - 1], token):
+                if not start:
+                    last.append(token)
+                    break
+                stable = known(last[start - 1] << 32 | token)
+                if self.is_stable(last[start - 1], token) if stable is None else stable:
                     last.append(token)
                     break
             else:
@@ -128,28 +131,55 @@ class Tokenizer:
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token; one that is a token itself stays whole."""
         whole = self.rank.get(piece)
-        return (whole,) if whole is not None else tuple(self.trace(self.append(PrefixState(), piece)))
+        if whole is not None:
+            return (whole,)
+        state, at = PrefixState(), 0
+        for size in STEMS:  # pre-tokens of the same beginning share its states
+            if len(piece) > size:
+                stem = piece[:size]
+                known = self.stems.get(stem)
+                if known is None:
+                    self.append(state, stem[at:])
+                    if 4 * len(self.stems) >= REMEMBERED:
+                        self.stems.clear()
+                    self.stems[stem] = tuple(state.last)
+                else:
+                    state.data, state.last = bytearray(stem), list(known)
+                at = size
+        return tuple(self.trace(self.append(state, piece[at:])))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memory.__getitem__, self.pattern.findall(text))))
+        return [i for piece in self.encoded(text) for i in piece.ids]
+
+    def encoded(self, text: str) -> list[Piece]:
+        return list(map(self.memory.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Piece:
+    """A pre-token's ids, the same as decimal text, and the bytes that they decode to."""
+
+    __slots__ = ("bytes", "decimal", "ids")
+
+    def __init__(self, tokenizer: Tokenizer, ids: tuple[int, ...]) -> None:
+        self.ids, self.decimal, self.bytes = ids, " ".join(map(str, ids)), tokenizer.decode(ids)
+
+
 class _Memory(dict):
-    """Ids by pre-token, forgotten all at once when there are too many."""
+    """Encoded pre-tokens, forgotten all at once when there are too many."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.tokenizer.encode_piece(piece.encode())
-        if len(piece) <= LONGEST:
+    def __missing__(self, text: str) -> Piece:
+        piece = Piece(self.tokenizer, self.tokenizer.encode_piece(text.encode()))
+        if len(text) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[text] = piece
+        return piece
 
 
 class EditableText:
@@ -161,7 +191,7 @@ class EditableText:
 
     @property
     def ids(self) -> list[int]:
-        return [i for _, ids in self.pieces for i in ids]
+        return [i for _, piece in self.pieces for i in piece.ids]
 
     def append(self, text: str) -> EditableText:
         return self.edit(len(self.text), len(self.text), text)
@@ -180,7 +210,7 @@ class EditableText:
         made, rest = [], []
         for m in self.tokenizer.pattern.finditer(text, at):
             if m.start() >= start + len(new) and m.start() in old:
-                rest = [(begin + shift, ids) for begin, ids in self.pieces[old[m.start()] :]]
+                rest = [(begin + shift, piece) for begin, piece in self.pieces[old[m.start()] :]]
                 break
             made.append((m.start(), self.tokenizer.memory[m[0]]))
         self.text, self.pieces, self.encoded = text, [*self.pieces[:first], *made, *rest], len(made)
@@ -193,52 +223,60 @@ def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks_path, pattern)
 
 
-def _appended(df: DataFrame, field: T.StructField, column: str, make: Callable[[list], pa.Array]) -> DataFrame:
-    """df with one more column, made from another one batch by batch."""
-    if field.name in df.columns:
-        raise ValueError(f"column {field.name} exists already")
-    at = df.columns.index(column)
+#: What encode can append, with its type.
+OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+_ARROW = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(at))], names=[*part.schema.names, field.name])
 
-    return df.mapInArrow(step, T.StructType([*df.schema.fields, field]))
+def _made(pieces: list[Piece], output: str) -> list[int] | int | str:
+    if output == "ids":
+        return [i for piece in pieces for i in piece.ids]
+    if output == "n_tokens":
+        return sum([len(piece.ids) for piece in pieces])
+    if output == "ids_sha256":
+        return hashlib.sha256(" ".join([piece.decimal for piece in pieces]).encode()).hexdigest()
+    return hashlib.sha256(b"".join([piece.bytes for piece in pieces])).hexdigest()
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Appends the token ids of each whole text."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: list[str] | None = None) -> DataFrame:
+    """Encodes each whole text and appends the outputs to df, or to its columns ``keep``: the ids, how many there are, the
+    SHA-256 of the decimal ids joined by single spaces, or that of the bytes that the ids decode to. One pass, one
+    Python worker a task; a worker's memory is bounded by REMEMBERED pre-tokens and by PART texts."""
+    kept = df.columns if keep is None else keep
+    if clash := set(outputs) & set(kept):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+    at, kept_at = df.columns.index(text_col), [df.columns.index(c) for c in kept]
+    names = [*kept, *outputs]
 
-    def make(texts: pa.Array) -> pa.Array:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_path, pattern)
-        return pa.array((own.encode(t.as_py()) if t.is_valid else [] for t in texts), pa.list_(pa.int32()))
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART):
+                part = batch.slice(i, PART)
+                columns: list[list] = [[] for _ in outputs]
+                for text in part.column(at):
+                    pieces = own.encoded(text.as_py()) if text.is_valid else []
+                    for column, output in zip(columns, outputs):
+                        column.append(_made(pieces, output))
+                made = [pa.array(c, _ARROW[o]) for c, o in zip(columns, outputs)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept_at), *made], names=names)
 
-    return _appended(df, T.StructField(ids_col, T.ArrayType(T.IntegerType())), text_col, make)
+    return df.mapInArrow(step, T.StructType([*(df.schema.fields[k] for k in kept_at), *(T.StructField(o, OUTPUTS[o]) for o in outputs)]))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Appends the bytes that the ids stand for."""
+    """Appends the bytes that the ids stand for; null ids stand for none."""
+    at = df.columns.index(ids_col)
 
-    def make(ids: pa.Array) -> pa.Array:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_path, pattern)
-        return pa.array((own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in ids), pa.binary())
-
-    return _appended(df, T.StructField(out_col, T.BinaryType()), ids_col, make)
-
-
-def digest(df: DataFrame, ids_col: str = "ids", out_col: str = "ids_sha256") -> DataFrame:
-    """Appends the SHA-256 of the decimal ids joined by single spaces."""
-
-    def make(ids: pa.Array) -> pa.Array:
-        return pa.array(hashlib.sha256(" ".join(map(str, x.values.to_pylist() if x.is_valid else ())).encode()).hexdigest() for x in ids)
+        for batch in batches:
+            made = pa.array((own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in batch.column(at)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out_col])
 
-    return _appended(df, T.StructField(out_col, T.StringType()), ids_col, make)
+    return df.mapInArrow(step, T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def op8_bpe(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The result of query op8 over documents."""
-    ids = encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text")
-    both = digest(decode(ids, ranks_path, pattern))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs.select("doc_id", "text"), ranks_path, pattern, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])

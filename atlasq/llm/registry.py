@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, quality_rules
+from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, pii, quality_rules
 
 
 
@@ -33,6 +33,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.op3_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4_pii(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op5_chat(table(spark, sf_dir, "conversations"), *byte_bpe())
 
@@ -61,7 +65,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op5_chat": op5, "op6_language_id": op6, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op4_pii": op4, "op5_chat": op5, "op6_language_id": op6, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,51 +21,23 @@ probability one; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, crc_bucket, forget, materialise, scale, scratch, slices, splitmix
+from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, pack_keys, told_table, unpack, unpack_keys
+from .shared import SPACED, Words, crc_bucket, slices, splitmix
 
 #: Tokens that are packed together, and the largest count that is discounted.
-PACK, LARGE = 6_000_000, 5
+PACK, LARGE = 2_000_000, 5
 #: Stand-ins for the hashes of the begin and the end of a text.
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 _PACKED = "pack bigint, ids array<{kind}>, train array<boolean>, sizes binary, words binary, word_counts binary, followers binary, pair_word binary, pair_counts binary, stream binary"
-_ASKED = "part int, pack bigint, keys binary, a binary, b binary"
-_TOLD = "part int, pack bigint, told binary, keys binary, stats array<double>"
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Compressed by byte places."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
-
-
-def unpack(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by their differences."""
-    steps = keys.copy()
-    steps[1:] -= keys[:-1]
-    return pack(steps)
-
-
-def unpack_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
-
-
-def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=[x.strip().split(" ")[0] for x in schema.split(", ")])
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,22 +51,29 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made() -> pa.RecordBatch:
         nonlocal number
         number += 1
-        tokens, size, teach = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(train)
-        words, at = np.unique(np.append(tokens, START), return_inverse=True)
-        w, start = at[:-1], at[-1]
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[np.cumsum(size) - size] = start
-        pairs, stream = np.unique(v.astype(np.uint64) * np.uint64(len(words)) + w.astype(np.uint64), return_inverse=True)
-        taught = np.repeat(teach, size)
-        followers = np.bincount((pairs // np.uint64(len(words))).astype(np.int64), minlength=len(words))
-        blobs = [pack(size.astype(np.uint32)), pack_keys(words), pack(np.bincount(w[taught], minlength=len(words)).astype(np.uint32)), pack(followers.astype(np.uint32)), pack((pairs % np.uint64(len(words))).astype(np.uint32)), pack(np.bincount(stream[taught], minlength=len(pairs)).astype(np.uint32)), pack(stream.astype(np.uint32))]
+        tokens, size, teach = np.concatenate([*hashes, [START]]), np.concatenate(sizes), np.concatenate(train)
+        hashes.clear()
+        words, w = np.unique(tokens, return_inverse=True)
+        w, start, taught = w[:-1].astype(np.uint32), w[-1], np.repeat(teach, size)
+        word_counts = np.bincount(w[taught], minlength=len(words)).astype(np.uint32)
+        pairs = np.empty(len(w), np.uint64)
+        pairs[1:] = w[:-1]
+        pairs[np.cumsum(size) - size] = start
+        pairs *= np.uint64(len(words))
+        pairs += w
+        del tokens, w
+        pairs, stream = np.unique(pairs, return_inverse=True)
+        stream = stream.astype(np.uint32)
+        followers = np.bincount((pairs // np.uint64(len(words))).astype(np.int64), minlength=len(words)).astype(np.uint32)
+        pair_counts = np.bincount(stream[taught], minlength=len(pairs)).astype(np.uint32)
+        pair_word = (pairs % np.uint64(len(words))).astype(np.uint32)
+        blobs = [pack(size.astype(np.uint32)), pack_keys(words), *map(pack, (word_counts, followers, pair_word, pair_counts, stream))]
         own, n = pa.concat_arrays(ids), len(size)
         ends = pa.array([0, n], pa.int32())
         columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, pa.array(teach)), *(pa.array([b], pa.binary()) for b in blobs)]
-        for held in (hashes, sizes, ids, train):
+        for held in (sizes, ids, train):
             held.clear()
-        return _batch(_PACKED, columns)
+        return batch_of(_PACKED, columns)
 
     waiting = 0
     for batch in batches:
@@ -131,33 +110,9 @@ class Packed:
         return np.bincount(self.v, values, len(self.words))
 
 
-def _asked(number: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, parts: int) -> Iterator[pa.RecordBatch]:
-    """Ascending keys, dealt out by ranges of the hash space."""
-    part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    ends = np.searchsorted(part, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(ends)).tolist():
-        s = slice(ends[p], ends[p + 1])
-        yield _batch(_ASKED, [pa.array([p], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_keys(keys[s])], pa.binary()), pa.array([pack(a[s])], pa.binary()), pa.array([None if b is None else pack(b[s])], pa.binary())])
-
-
-def _gathered(table: pa.Table) -> tuple[list[dict], list[np.ndarray], np.ndarray, np.ndarray]:
-    rows = sorted(table.to_pylist(), key=lambda r: r["pack"])
-    keys = [unpack_keys(r["keys"]) for r in rows]
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return rows, keys, unique, at
-
-
-def _told(rows: list[dict], keys: list[np.ndarray], answer: np.ndarray, unique: np.ndarray, totals: np.ndarray, stats: list[float]) -> pa.Table:
-    """The answers to the rows, in their order, and as pack -1 the table itself."""
-    ends = np.cumsum([0, *map(len, keys)])
-    out = [{"part": r["part"], "pack": r["pack"], "told": pack(answer[i:j]), "keys": None, "stats": None} for r, i, j in zip(rows, ends, ends[1:])]
-    out.append({"part": rows[0]["part"], "pack": -1, "told": pack(totals), "keys": pack_keys(unique), "stats": stats})
-    return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("told", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.float64()))]))
-
-
 def _counted(table: pa.Table) -> pa.Table:
     """Totals of counts. An answer is twice the total, and one more for the first row that taught the key: its owner."""
-    rows, keys, unique, at = _gathered(table)
+    rows, keys, unique, at = gathered(table)
     counts = np.concatenate([unpack(r["a"], np.uint32) for r in rows]).astype(np.uint64)
     totals = np.bincount(at, counts, len(unique)).astype(np.uint64)
     taught = np.flatnonzero(counts)
@@ -166,17 +121,17 @@ def _counted(table: pa.Table) -> pa.Table:
     answer[taught[first]] += np.uint64(1)
     seen = totals > 0
     small = np.bincount(totals[seen & (totals <= LARGE + 1)].astype(np.int64), minlength=LARGE + 2)[1:]
-    return _told(rows, keys, answer, unique[seen], totals[seen], [float(totals.sum()), float(seen.sum()), *map(float, small)])
+    return told_table(rows, keys, answer, unique[seen], totals[seen], [float(totals.sum()), float(seen.sum()), *map(float, small)])
 
 
 def _weighed(table: pa.Table) -> pa.Table:
     """Freed counts (a) and unigram probability (b) of what was seen after each word, as a / (1 - b); where nothing is freed,
     the history counts once more than it occurred, and the answer is -1 / (1 - b)."""
-    rows, keys, unique, at = _gathered(table)
+    rows, keys, unique, at = gathered(table)
     freed = np.bincount(at, np.concatenate([unpack(r["a"], np.float64) for r in rows]), len(unique))
     seen = np.bincount(at, np.concatenate([unpack(r["b"], np.float64) for r in rows]), len(unique))
     weight = np.where(freed > 0, freed, -1.0) / np.maximum(1 - seen, 1e-300)
-    return _told(rows, keys, weight[at], unique, weight, [])
+    return told_table(rows, keys, weight[at], unique, weight, [])
 
 
 class Discounts:
@@ -207,62 +162,41 @@ class Unigrams:
         return np.where(counts > 0, self.by.discounted(counts) / self.over, self.unknown)
 
 
-def _answers(told: pa.Table, kind: int, dtype: type) -> np.ndarray:
-    rows = sorted(((r["part"], r["told"]) for r in told.to_pylist() if r["kind"] == kind), key=lambda r: r[0])
-    return np.concatenate([unpack(blob, dtype) for _, blob in rows])
-
-
 def _known(row: dict, told: pa.Table) -> tuple[Packed, np.ndarray, np.ndarray, np.ndarray]:
     """The packed row, its unigram totals, its bigram totals, and which bigrams it owns."""
     packed = Packed(row)
-    words = _answers(told, 1, np.uint64) >> np.uint64(1)
+    words = answer_of(told, 1, np.uint64) >> np.uint64(1)
     both = np.empty(len(packed.w), np.uint64)
-    both[np.argsort(packed.pair_keys())] = _answers(told, 2, np.uint64)
+    both[np.argsort(packed.pair_keys())] = answer_of(told, 2, np.uint64)
     return packed, words.astype(np.float64), (both >> np.uint64(1)).astype(np.float64), (both & np.uint64(1)).astype(bool)
 
 
 def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", tables: str | None = None) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for each document. train: the boolean column of those
     to learn from. tables: a folder in which the three partitioned tables of the model stay (part, keys, told)."""
-    spark, parts = docs.sparkSession, 2 * scale(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    packed_type, name = _PACKED.format(kind=kind), f"atlasq_packs_{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train")).mapInArrow(_packs, packed_type)
-    rows.write.bucketBy(scale(spark), "pack").sortBy("pack").saveAsTable(name)  # later rounds bring answers to these rows; the rows stay where they are
-    packs, paths = spark.table(name), []
-
-    def round_of(asked: DataFrame, answer, title: str) -> DataFrame:
-        path = f"{tables}/{title}" if tables else scratch(spark)
-        out = materialise(asked.groupBy("part").applyInArrow(answer, _TOLD), path)
-        if not tables:
-            paths.append(path)
-        return out
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    rounds = Rounds(docs.sparkSession, rows.mapInArrow(_packs, _PACKED.format(kind=kind)), tables)
+    packs, parts = rounds.packs, rounds.parts
 
     def discounts(told: DataFrame) -> Discounts:
         got = told.where("pack = -1").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(LARGE + 3))).first()
         return Discounts(got[0], got[1], list(got[2:]))
 
-    def answers(*told: DataFrame) -> DataFrame:
-        out = None
-        for k, df in enumerate(told, 1):
-            one = df.where("pack >= 0").select(F.col("pack"), "part", "told", F.lit(k).alias("kind"))
-            out = one if out is None else out.union(one)
-        return out
-
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _asked(row["pack"], unpack_keys(row["words"]), unpack(row["word_counts"], np.uint32), None, parts)
+                yield from asked(row["pack"], unpack_keys(row["words"]), unpack(row["word_counts"], np.uint32), None, parts)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys = Packed(row).pair_keys()
                 order = np.argsort(keys)
-                yield from _asked(row["pack"], keys[order], unpack(row["pair_counts"], np.uint32)[order], None, parts)
+                yield from asked(row["pack"], keys[order], unpack(row["pair_counts"], np.uint32)[order], None, parts)
 
-    words_told = round_of(packs.select("pack", "words", "word_counts").mapInArrow(ask_words, _ASKED), _counted, "unigrams")
-    pairs_told = round_of(packs.select("pack", "words", "followers", "pair_word", "pair_counts").mapInArrow(ask_pairs, _ASKED), _counted, "bigrams")
+    words_told = rounds.told(packs.select("pack", "words", "word_counts").mapInArrow(ask_words, ASKED), _counted, "unigrams")
+    pairs_told = rounds.told(packs.select("pack", "words", "followers", "pair_word", "pair_counts").mapInArrow(ask_pairs, ASKED), _counted, "bigrams")
     first, second = discounts(words_told), discounts(pairs_told)
     unigrams = Unigrams(first)
 
@@ -271,14 +205,14 @@ def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
         for row in own.to_pylist():
             packed, words, pairs, owned = _known(row, told)
             freed = np.where(owned, pairs - second.discounted(pairs), 0.0)
-            out += _asked(row["pack"], packed.words, packed.first(freed), packed.first(np.where(owned, unigrams.of(words)[packed.w], 0.0)), parts)
+            out += asked(row["pack"], packed.words, packed.first(freed), packed.first(np.where(owned, unigrams.of(words)[packed.w], 0.0)), parts)
         return pa.Table.from_batches(out)
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in own.to_pylist():
             packed, words, pairs, _ = _known(row, told)
-            weight = _answers(told, 3, np.float64)
+            weight = answer_of(told, 3, np.float64)
             history = words.copy()  # each word but the last of a text is followed by another, so it is a history as often as it occurs
             history[np.searchsorted(packed.words, START)] = words[np.searchsorted(packed.words, END)]
             once_more = weight < 0
@@ -296,14 +230,11 @@ def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
             out.append(pa.table({"id": ids, "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), int(first.total))), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])}))
         return pa.concat_tables(out)
 
-    asking = packs.select("pack", "words", "followers", "pair_word").groupBy("pack").cogroup(answers(words_told, pairs_told).groupBy("pack"))
-    weights_told = round_of(asking.applyInArrow(ask_weights, _ASKED), _weighed, "weights")
-    scoring = packs.select("pack", "ids", "train", "sizes", "words", "followers", "pair_word", "stream").groupBy("pack").cogroup(answers(words_told, pairs_told, weights_told).groupBy("pack"))
+    pairs_of = ["words", "followers", "pair_word"]
+    asking = rounds.with_answers(pairs_of, [words_told, pairs_told], ask_weights, ASKED)
+    weights_told = rounds.told(asking, _weighed, "weights")
     result = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    out = materialise(scoring.applyInArrow(score, result))
-    spark.sql(f"DROP TABLE {name}")
-    forget(spark, *paths)
-    return out
+    return rounds.finish(rounds.with_answers(["ids", "train", "sizes", *pairs_of, "stream"], [words_told, pairs_told, weights_told], score, result))
 
 
 def op1_katz(docs: DataFrame) -> DataFrame:

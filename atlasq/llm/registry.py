@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, pii, quality_rules
+from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, pii, quality_rules, unit_dedup
 
 
 
@@ -52,6 +52,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6_language_id(table(spark, sf_dir, "documents"), piece_file())
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.op7_unit_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8_bpe(table(spark, sf_dir, "documents"), *byte_bpe())
 
@@ -65,7 +69,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op4_pii": op4, "op5_chat": op5, "op6_language_id": op6, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op4_pii": op4, "op5_chat": op5, "op6_language_id": op6, "op7_unit_dedup": op7, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,8 @@ tokens is taken apart first, and at each state a mergeable pair that is due earl
 would have crossed the border.
 
 Defined results: a null text encodes like an empty one (no ids, null ids never occur); text outside Unicode cannot
-occur in a string column; input columns are kept, the results are appended under the given names, which must be new.
+occur in a string column; repeated rows are encoded each; an empty table gives an empty table; input columns are kept, but one
+that has an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import besides
+
 #: Distinct pre-tokens that a Python worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 800_000, 64
 #: Lengths at which the states of a pre-token's beginning are remembered for others.
@@ -242,9 +245,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     """Encodes each whole text and appends the outputs to df, or to its columns ``keep``: the ids, how many there are, the
     SHA-256 of the decimal ids joined by single spaces, or that of the bytes that the ids decode to. One pass, one
     Python worker a task; a worker's memory is bounded by REMEMBERED pre-tokens and by PART texts."""
-    kept = df.columns if keep is None else keep
-    if clash := set(outputs) & set(kept):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kept = besides(df.columns if keep is None else keep, outputs)
     at, kept_at = df.columns.index(text_col), [df.columns.index(c) for c in kept]
     names = [*kept, *outputs]
 

@@ -5,7 +5,8 @@ documents, so what is broadcast has a fixed bound whatever the size of the test
 every candidate is verified word by word.
 
 Defined results: null and wordless texts, of documents or items, have no words, windows or hits; a null item id counts
-as the empty id; repeated item ids are one item; repeated documents are scored each; input columns are kept.
+as the empty id; repeated item ids are one item; repeated documents are scored each; an empty table on either side gives no hits; input columns
+are kept, but one that has an added column's name is replaced (``without_...`` return the input's columns alone).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM, Words, materialise, slices, splitmix
+from .shared import ALNUM, Words, besides, materialise, own_names, plain_names, slices, splitmix
 
 #: Characters of test text that are broadcast at once.
 BLOCK_CHARS = 16_000_000
@@ -92,9 +93,8 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with n_words, hits (ranges of hit words with their code point offsets) and items (ids as text, sorted)."""
-    if clash := {f.name for f in _ADDED} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = docs.sparkSession
+    docs = docs.select([F.col(f"`{c}`") for c in besides(docs.columns, [f.name for f in _ADDED])])
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(chars / block_chars))
@@ -146,18 +146,20 @@ def verdict(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 def without_documents(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones, as they were."""
-    return verdict(find(docs, items, text_col)).where("NOT contaminated").select(*docs.columns)
+    plain, text = plain_names(docs, text_col)
+    return own_names(verdict(find(plain, items, text)).where("NOT contaminated"), docs)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the hit spans cut out of their texts."""
+    plain, text = plain_names(docs, text_col)
     pieces = F.aggregate(
         "hits",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")),
-        lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))),
+        lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")),
+        lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))),
     )
-    return find(docs, items, text_col).withColumn(text_col, F.when(F.col(text_col).isNotNull(), pieces)).select(*docs.columns)
+    return own_names(find(plain, items, text).withColumn(text, F.when(F.col(text).isNotNull(), pieces)), docs)
 
 
 def op10_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

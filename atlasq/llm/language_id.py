@@ -8,7 +8,8 @@ probabilities from the words of a bounded sample of training texts; scoring cove
 Words are runs of ASCII letters and non-ASCII bytes of the lowered text, so digits, marks and markup don't count.
 
 Defined results: a null text and one without a letter is ``und`` with score 0; without training texts all are; ties go
-to the language that sorts first; repeated rows are predicted each; an empty table gives an empty table.
+to the language that sorts first; repeated rows are predicted each; an empty table gives an empty table; input columns
+are kept, but one named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Alphabet, Words, crc_bucket, slices, splitmix
+from .shared import Alphabet, Words, besides, crc_bucket, slices, splitmix
 
 #: Training texts of each language, the ones of the lowest hash: the bound of the sample.
 SAMPLE = 250
@@ -217,9 +218,7 @@ def _has_letter(text: str) -> bool:
 def predict(docs: DataFrame, vocab_path: str, languages: list[str], log: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with lang_pred and score: the likeliest language under equal priors and its
     posterior probability."""
-    kept = docs.columns if keep is None else keep
-    if clash := {"lang_pred", "score"} & set(kept):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kept = besides(docs.columns if keep is None else keep, ("lang_pred", "score"))
     at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in kept]
     model = docs.sparkSession.sparkContext.broadcast((languages, log))  # vocabulary times languages
 

@@ -10,7 +10,8 @@ the documented bound. Scoring covers every passage of every text.
 
 Defined results: a null, empty or wordless text is a bag of one empty passage and has a score as well; without labels of
 both kinds every score is the share of ones (0.5 without any); of several labels of a document the mean decides, one half
-counting as 1; repeated rows are scored each; an empty table gives an empty table.
+counting as 1; repeated rows are scored each; an empty table gives an empty table; input columns are kept, but one named
+like a result is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, crc_bucket, slices, splitmix
+from .shared import SPACED, Words, besides, crc_bucket, slices, splitmix
 
 #: Words in a passage, labelled texts that are learned from at most, hashed word features.
 PASSAGE, SAMPLE, HASHED = 64, 5000, 24
@@ -175,9 +176,7 @@ def fitted(x: np.ndarray, begins: np.ndarray, y: np.ndarray) -> Model:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with score and attention, the weight of each passage."""
-    kept = docs.columns if keep is None else keep
-    if clash := {"score", "attention"} & set(kept):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kept = besides(docs.columns if keep is None else keep, ("score", "attention"))
     at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in kept]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 

@@ -14,7 +14,8 @@ similarity share one with probability 4e-11, so components stay local in very la
 
 Defined results: a text of one to four words has one shingle of all its words; a text without words (or null) links to
 nothing and is a class of its own; repeated rows and repeated ids are documents each; a class is named by its lowest id
-(null only if all are null); an empty table gives an empty table.
+(null only if all are null); an empty table gives an empty table; only the id and text columns are read, so others don't
+clash, and filtering returns the input's columns.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import SPACED, Words, forget, materialise, scratch, slices, splitmix
+from .shared import SPACED, Words, forget, materialise, own_names, plain_names, scratch, slices, splitmix
 
 #: Words in a shingle, and the least similarity of a link.
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -244,15 +245,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The document of the lowest id in each class, and those without words, with the columns of docs."""
     found = classes(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id")))
     staying = found.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
-    own = docs.columns
-    plain = docs.select([F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(own)])
-    key, text = f"in_{own.index(id_col)}", f"in_{own.index(text_col)}"
+    plain, text = plain_names(docs, text_col)
+    key = f"in_{docs.columns.index(id_col)}"
     once = staying.where("n = 1").select("id")
     out = plain.join(once.hint("shuffle_hash"), plain[key].eqNullSafe(once["id"]), "left_semi")
     if not staying.where("n > 1").isEmpty():
         again = _repeated_ids(plain, found, key, text)
         out = out.union(again)
-    return out.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(own)])
+    return own_names(out, docs)
 
 
 def _repeated_ids(plain: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,8 +7,8 @@ casts each vote; the posterior probability of the good class replaces the demand
 One Project measures a text: its word array is bound once as a lambda's variable, so nothing is evaluated twice.
 
 Defined results: a null or wordless text measures as zeros, fails the base rules and is not kept; repeated rows are
-measured each and count each in the estimates; an empty table gives an empty table; input columns are kept as they are
-(added names must be new, and the filter returns the input's columns alone).
+measured each and count each in the estimates; an empty table gives an empty table; input columns are kept, but one that
+has an added column's name is replaced (the filter returns the input's columns alone).
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import besides, materialise, own_names, plain_names
 
 #: Characters between words, and characters that count as symbols.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
+#: The columns that judging adds.
+ADDED = ("measures", "votes", "posterior", "base_failed", "kept")
 GOOD, BAD, ABSTAIN = "g", "b", "a"
 #: A document is kept from this posterior probability on.
 LEAST_POSTERIOR = 0.5
@@ -150,7 +152,8 @@ def fit(patterns: dict[str, int], n_rules: int) -> tuple[float, list[dict[str, f
 def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with their measures, posterior and kept; a scratch table holds these columns and the
     measures between the two reads."""
-    found = measured(docs, text_col).select(*(docs.columns if keep is None else keep), "measures")
+    kept = besides(docs.columns if keep is None else keep, ADDED)
+    found = measured(docs, text_col).select(*(F.col(f"`{c}`") for c in kept), "measures")
     votes = rules(F.col("measures"))
     found = materialise(found.withColumn("votes", F.concat(*votes.values())))
     patterns = {r["votes"]: r["n"] for r in found.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** len(votes) rows
@@ -168,10 +171,7 @@ def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
 def filtered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with the columns of docs."""
-    own = docs.columns
-    plain = docs.select([F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(own)])
-    kept = judged(plain, f"in_{own.index(text_col)}").where("kept")
-    return kept.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(own)])
+    return own_names(judged(*plain_names(docs, text_col)).where("kept"), docs)
 
 
 def op2_quality_rules(docs: DataFrame) -> DataFrame:

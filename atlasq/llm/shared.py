@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,22 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with its columns renamed in_0, in_1 and so on, so that no added column clashes; and the text's new name."""
+    return docs.select([F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]), f"in_{docs.columns.index(text_col)}"
+
+
+def own_names(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def besides(columns: list[str], added: Iterable[str]) -> list[str]:
+    """The columns that no added one replaces; names differ by more than case."""
+    taken = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no later step reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -39,7 +39,7 @@ SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 #: MinHash bands, values in a band, values compared at a step, and the posterior probability below which a pair goes.
 BANDS, ROWS, STEP, TOLERANCE = 40, 6, 24, 1e-6
 #: Nodes in a block.
-BLOCK = 256
+BLOCK = 128
 
 _FACTORS = splitmix(np.arange(7, 7 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 

@@ -210,7 +210,7 @@ def scc_cycles(spark: SparkSession, d: str) -> DataFrame:
 _WALK = "SELECT 'NATION_0' AS node, 'NATION_0' AS path, 0 AS length UNION ALL SELECT e.target, w.path || ' -[]-> ' || e.target, w.length + 1 FROM walk w JOIN e ON w.node = e.source WHERE w.length < 6 AND NOT contains(w.path || ' ', e.target || ' ')"
 
 
-@query(with_views("SELECT 'NATION_0' AS \"start\", node AS \"end\", length, path FROM (SELECT *, min(length) OVER (PARTITION BY node) AS best FROM walk) WHERE length = best", "pairs", recursive=True, e=T.strongest_sql(2), walk=_WALK))
+@query(with_views("SELECT 'NATION_0' AS \"start\", node AS \"end\", length, path FROM (SELECT *, min(length) OVER (PARTITION BY node) AS best FROM walk) WHERE length = best AND node IN (SELECT source FROM e UNION SELECT target FROM e)", "pairs", recursive=True, e=T.strongest_sql(2), walk=_WALK))
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = T.strongest_edges(spark, d, 2)
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 DYNAMIC, ANY = "<dynamic>", "ANY"
 SEVERITIES = ("INFO", "WARNING", "ERROR")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "TRACE")
+LABEL_METHODS = ("DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT")
+LABEL_ROUTE, LABEL_TOPIC = r"^/[A-Za-z0-9._~!$&'()*+,;=:@%{}\-/]{1,200}$", r"^[A-Za-z0-9][A-Za-z0-9._-]{0,248}$"
+#: Error categories by the marks of which one occurs, the first that fits.
+ERROR_MARKS = {"timeout": ("timeout",), "connection": ("connect",), "validation": ("valid",), "authorization": ("authoriz", "forbidden"), "throttling": ("throttl", "rate")}
 DURATION_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -86,12 +90,19 @@ def paths_match(call: Column, serve: Column) -> Column:
 
 
 def target_hint(snippet: Column, getter: Column | None = None) -> Column:
-    """The host that a call names: a configured getter, else an http host, else a load-balancer name, else an api-domain mark."""
+    """The host that a call names, its first label lowered: a configured getter, else an http host, else a load-balancer name,
+    else an api-domain mark."""
 
     def first(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(snippet, pattern, 1), F.lit(""))
+        return F.nullif(F.lower(F.regexp_extract(snippet, f"(?i){pattern}([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)\\b", 1)), F.lit(""))
 
-    return F.coalesce(*([] if getter is None else [getter]), first(r"https?://([A-Za-z0-9._-]+)"), first(r"lb://([A-Za-z0-9._-]+)"), first(r"api-domain:([A-Za-z0-9._-]+)"))
+    return F.coalesce(*([] if getter is None else [getter]), first("https?://"), first("lb://"), first(r"\bapi-domain:"))
+
+
+def url_getter(snippet: Column) -> Column:
+    """The service of a ``.getOrderItemServiceUrl(`` accessor: order-item-service; null without one."""
+    name = F.regexp_extract(snippet, r"\.get([A-Z][A-Za-z0-9]*)ServiceUrl\(", 1)
+    return F.when(name != "", F.concat(kebab(name), F.lit("-service")))
 
 
 def alias(name: Column) -> Column:
@@ -180,33 +191,49 @@ def average_ms(duration_us: Column, calls: Column) -> Column:
     return F.try_divide(duration_us.cast("double"), calls.cast("double") * 1000)
 
 
-def span_label(method: Column, route: Column, destination: Column) -> Column:
-    """``METHOD /route`` or a topic, where they look like such; else null."""
-    http = F.upper(method).isin(*HTTP_METHODS) & route.rlike(r"^/[A-Za-z0-9/_{}.*-]*$")
-    return F.when(http, F.concat(F.upper(method), F.lit(" "), route)).when(destination.rlike(r"^[A-Za-z0-9._-]+$"), destination)
+def span_label(method: Column, route: Column, destination: Column, kafka: Column | None = None) -> Column:
+    """``METHOD /route`` without query, or the topic of a Kafka span, where they look like such; else null."""
+    bare = F.regexp_replace(route, r"[?#].*$", "")
+    http = F.upper(method).isin(*LABEL_METHODS) & bare.rlike(LABEL_ROUTE)
+    topic = destination.rlike(LABEL_TOPIC) if kafka is None else kafka & destination.rlike(LABEL_TOPIC)
+    return F.when(http, F.concat(F.upper(method), F.lit(" "), bare)).when(topic, destination)
 
 
-def span_origin(kind: Column, subtype: Column, method: Column, messaging: Column) -> Column:
-    kind, subtype = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(subtype, F.lit("")))
+def span_origin(kind: Column, subtype: Column, method: Column, messaging: Column, transaction: Column) -> Column:
+    """The first that fits of HTTP, Messaging, Kafka, Database, External; else Application."""
+    kind, subtype, messaging, transaction = (F.lower(F.coalesce(c, F.lit(""))) for c in (kind, subtype, messaging, transaction))
     return (
-        F.when(method.isNotNull() | subtype.isin("http", "https"), "HTTP")
-        .when((subtype == "kafka") | (F.lower(F.coalesce(messaging, F.lit(""))) == "kafka"), "Kafka")
-        .when(messaging.isNotNull() | (kind == "messaging"), "Messaging")
-        .when(kind.isin("db", "database") | subtype.isin("mongodb", "mysql", "postgresql", "redis"), "Database")
+        F.when((F.coalesce(method, F.lit("")) != "") | transaction.isin("request", "http"), "HTTP")
+        .when(transaction == "messaging", "Messaging")
+        .when((messaging == "kafka") | (subtype == "kafka"), "Kafka")
+        .when(kind == "messaging", "Messaging")
+        .when(kind == "db", "Database")
         .when(kind == "external", "External")
         .otherwise("Application")
     )
 
 
+def operation_label(value: Column, event: Column, transaction: Column) -> Column:
+    """What may be shown of an operation that instrumentation named."""
+    low = F.lower(F.coalesce(transaction, F.lit("")))
+    shown = F.when(event == "span", "Span").when(low.isin("request", "http"), "HTTP transaction").when(low == "messaging", "Messaging transaction").otherwise("Transaction")
+    return F.when(value.isNotNull(), shown)
+
+
+def span_type(value: Column) -> Column:
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.when(low.isin("request", "http"), "request").when(low.isin("messaging", "db", "external"), low).otherwise("other")
+
+
 def error_category(text: Column) -> Column:
-    """The first category of which a mark occurs."""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), None
-    for name, marks in {"timeout": ("timeout", "timed out"), "connection": ("connect", "refused", "unreachable"), "authorization": ("auth", "forbidden", "denied"), "validation": ("valid", "illegal", "argument"), "database": ("sql", "mongo", "database")}.items():
-        hit = None
+    """The first category of which a mark occurs, failure for any other text, null without one."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
+    for name, marks in ERROR_MARKS.items():
+        hit = F.lit(False)
         for mark in marks:
-            hit = low.contains(mark) if hit is None else hit | low.contains(mark)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(F.when(low == "", "unknown").otherwise("other"))
+            hit = hit | low.contains(mark)
+        out = out.when(hit, name)
+    return out.otherwise("failure")
 
 
 def event_kind(event: Column) -> Column:

@@ -98,28 +98,34 @@ def inside_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: str
 
 
 def fuzzy_names(seen: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, status, matched, score): matched where one known name is equal without case and separators, heuristic where
-    exactly one contains it or is contained best, ambiguous on ties, unmapped else. Candidates for containment share a
-    trigram, so names don't meet all names."""
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        plain = E.observed(F.col(name))
-        return df.select(F.col(name), plain.alias(f"{name}_plain"))
-
-    def exploded(df: DataFrame, name: str) -> DataFrame:
-        text = F.col(f"{name}_plain")
-        pieces = F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, F.lit(3))))).otherwise(F.array(text))
-        return df.where(text != "").withColumn("gram", F.explode(pieces))
+    """(name, status, matched, score): matched where a known name is equal without case and separators (of several the
+    lowest), heuristic where exactly one contains it or is contained best, ambiguous on ties, unmapped else. Candidates for
+    containment share three characters, or all of the shorter name where that has fewer, so names don't meet all names."""
+
+    def plain(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, E.observed(F.col(name)).alias(f"{name}_plain")).where(f"{name}_plain <> ''")
 
-    a, b = grams(seen.select("name").distinct(), "name"), grams(known.select(F.col("name").alias("matched")).distinct(), "matched")
-    exact = a.join(b, a["name_plain"] == b["matched_plain"]).where("name_plain <> ''").select("name", "matched", F.lit(1.0).alias("score"), F.lit(0).alias("class"))
-    near = exploded(a, "name").join(exploded(b, "matched"), "gram").select("name", "name_plain", "matched", "matched_plain").distinct()
-    near = near.where(F.col("name_plain") != F.col("matched_plain")).withColumn("score", E.containment(F.col("name_plain"), F.col("matched_plain"))).where("score IS NOT NULL")
+    def grams(df: DataFrame, name: str, size: int) -> DataFrame:
+        text = F.col(f"{name}_plain")
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda k: F.substring(text, k, F.lit(size))))
+        return df.where(F.length(text) >= size).withColumn("gram", F.explode(pieces))
+
+    asked = seen.select("name").distinct()
+    a, b = plain(asked, "name"), plain(known.select(F.col("name").alias("matched")).distinct(), "matched")
+    columns = ["name", "name_plain", "matched", "matched_plain"]
+    near = grams(a, "name", 3).join(grams(b, "matched", 3), "gram").select(columns)
+    for size in (1, 2):
+        short_a, short_b = (df.where(F.length(f"{n}_plain") == size).withColumn("gram", F.col(f"{n}_plain")) for df, n in ((a, "name"), (b, "matched")))
+        near = near.union(short_a.join(grams(b, "matched", size), "gram").select(columns)).union(grams(a, "name", size).join(short_b, "gram").select(columns))
+    near = near.distinct().where(F.col("name_plain") != F.col("matched_plain")).withColumn("score", E.containment(F.col("name_plain"), F.col("matched_plain"))).where("score IS NOT NULL")
+    exact = a.join(b, a["name_plain"] == b["matched_plain"]).select("name", "matched", F.lit(1.0).alias("score"), F.lit(0).alias("class"))
     both = exact.union(near.select("name", "matched", "score", F.lit(1).alias("class")))
     ranked = both.withColumn("r", F.rank().over(W.partitionBy("name").orderBy("class", F.col("score").desc()))).where("r = 1")
     best = ranked.groupBy("name").agg(F.count("*").alias("n"), F.min("class").alias("class"), F.min("matched").alias("matched"), F.max("score").alias("score"))
-    status = F.when(F.col("n").isNull(), "unmapped").when(F.col("n") > 1, "ambiguous").when(F.col("class") == 0, "matched").otherwise("heuristic")
-    out = a.select("name").join(best, "name", "left").withColumn("status", status)
-    return out.select("name", "status", F.when(F.col("n") == 1, F.col("matched")).alias("matched"), F.when(F.col("n") == 1, F.col("score")).alias("score"))
+    status = F.when(F.col("n").isNull(), "unmapped").when(F.col("class") == 0, "matched").when(F.col("n") > 1, "ambiguous").otherwise("heuristic")
+    sure = (F.col("n") == 1) | (F.col("class") == 0)
+    out = asked.join(best, "name", "left").withColumn("status", status)
+    return out.select("name", "status", F.when(sure, F.col("matched")).alias("matched"), F.when(sure, F.col("score")).alias("score"))
 
 
 def resolve_name(names: DataFrame, asked: str, column: str = "name") -> DataFrame:

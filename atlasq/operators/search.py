@@ -15,7 +15,8 @@ EXACT, PART, PLAIN_EXACT, PLAIN_PART = 8, 4, 6, 3
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    """The words alone, with single spaces between."""
+    return F.array_join(E.word_tokens(text), " ")
 
 
 def _text(df: DataFrame, field: str) -> Column:
@@ -27,7 +28,7 @@ def _text(df: DataFrame, field: str) -> Column:
 def scored(findings: DataFrame, query: str, weights: dict[str, int] = WEIGHTS) -> DataFrame:
     """findings with score: 0 unless every word of the query occurs in some field."""
     low, words = query.lower().strip(), sorted(set(re.findall(r"\w+", query.lower())))
-    bare = re.sub(r"[\W_]+", "", low)
+    bare = " ".join(re.findall(r"\w+", low))
     fields = {f: w for f, w in weights.items() if f in findings.columns}
     total, present = F.lit(0), {w: F.lit(False) for w in words}
     for field, weight in fields.items():

@@ -172,7 +172,7 @@ def volume_levels(df: DataFrame, value: str = "calls") -> DataFrame:
     the ordered pass sees each distinct value once."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy())
-    third = F.greatest(F.lit(1), F.floor(total / 3))
+    third = F.greatest(F.lit(1.0), total / 3)
     rank = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     level = F.when(rank <= third, "low").when(rank <= 2 * third, "medium").otherwise("high")
     return df.join(counts.select(value, rank.alias("volume_rank"), level.alias("level")), value)

@@ -101,7 +101,7 @@ def newest_buckets(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.capped_newest_first(latency_hourly(spark, d), 500, ["service"]).select("service", "window", "calls")
 
 
-_RANKED = "SELECT *, (SELECT count(*) FROM totals b WHERE b.calls <= a.calls) AS volume_rank, greatest(1, (SELECT count(*) FROM totals) // 3) AS third FROM totals a"
+_RANKED = "SELECT *, (SELECT count(*) FROM totals b WHERE b.calls <= a.calls) AS volume_rank, greatest(1, (SELECT count(*) FROM totals) / 3.0) AS third FROM totals a"
 
 
 @query(with_views("SELECT source, target, calls, CAST(volume_rank AS BIGINT) AS volume_rank, CASE WHEN volume_rank <= third THEN 'low' WHEN volume_rank <= 2 * third THEN 'medium' ELSE 'high' END AS level FROM ranked", "trade", totals="SELECT source, target, count(*) AS calls FROM trade GROUP BY ALL", ranked=_RANKED))
@@ -140,7 +140,7 @@ def duration_impact(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "target", "target_type", F.col("duration_us").cast("double").alias("duration_us"), F.col("group_duration_us").cast("double").alias("group_duration_us"))
 
 
-_MATCH = "SELECT DISTINCT c.system AS source, s.system AS target, c.id AS call_id, s.id AS serve_id, s.topic AS topic, list_filter(string_split(split_part(substr(c.topic, 5), '?', 1), '/'), lambda x: x <> '') AS a, list_filter(string_split(split_part(substr(s.topic, 5), '?', 1), '/'), lambda x: x <> '') AS b FROM rest c JOIN rest s ON c.role = 'call' AND s.role = 'serve' AND rtrim(lower(c.host), '.') = rtrim(lower(s.system), '.') AND c.system <> s.system"
+_MATCH = "SELECT DISTINCT c.system AS source, s.system AS target, c.id AS call_id, s.id AS serve_id, s.topic AS topic, list_filter(string_split(split_part(substr(c.topic, 5), '?', 1), '/'), lambda x: x <> '') AS a, list_filter(string_split(split_part(substr(s.topic, 5), '?', 1), '/'), lambda x: x <> '') AS b FROM rest c JOIN rest s ON c.role = 'call' AND s.role = 'serve' AND lower(c.label) = rtrim(lower(s.system), '.') AND c.system <> s.system"
 _ROUTE = "SELECT source, target, call_id, serve_id, topic FROM m WHERE len(a) > 0 AND len(a) = len(b) AND len(list_filter(list_zip(a, b), lambda z: z[1] = z[2] OR (z[1] LIKE '{%}') OR (z[2] LIKE '{%}'))) = len(a)"
 
 
@@ -285,14 +285,14 @@ def longest_spans(spark: SparkSession, d: str) -> DataFrame:
     return traces.longest_then_chronological(T.spans(spark, d)).select("trace_id", "span_id", "ts", "duration_us")
 
 
-@query("SELECT doc_id, CASE WHEN lower(text) = '' THEN 'unknown' WHEN contains(lower(text), 'timeout') OR contains(lower(text), 'timed out') THEN 'timeout' WHEN contains(lower(text), 'connect') OR contains(lower(text), 'refused') OR contains(lower(text), 'unreachable') THEN 'connection' WHEN contains(lower(text), 'auth') OR contains(lower(text), 'forbidden') OR contains(lower(text), 'denied') THEN 'authorization' WHEN contains(lower(text), 'valid') OR contains(lower(text), 'illegal') OR contains(lower(text), 'argument') THEN 'validation' WHEN contains(lower(text), 'sql') OR contains(lower(text), 'mongo') OR contains(lower(text), 'database') THEN 'database' ELSE 'other' END AS category FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+@query("SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN contains(lower(text), 'connect') THEN 'connection' WHEN contains(lower(text), 'valid') THEN 'validation' WHEN contains(lower(text), 'authoriz') OR contains(lower(text), 'forbidden') THEN 'authorization' WHEN contains(lower(text), 'throttl') OR contains(lower(text), 'rate') THEN 'throttling' ELSE 'failure' END AS category FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def error_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id", E.error_category(F.col("text")).alias("category"))
 
 
-_SCORE = "(CASE WHEN lower({c}) = 'worthless trash' THEN 8 WHEN contains(lower({c}), 'worthless trash') THEN 4 ELSE 0 END + CASE WHEN {p} = 'worthlesstrash' THEN 6 WHEN contains({p}, 'worthlesstrash') THEN 3 ELSE 0 END) * {w} + CASE WHEN list_contains({t}, 'worthless') THEN {w} ELSE 0 END + CASE WHEN list_contains({t}, 'trash') THEN {w} ELSE 0 END"
+_SCORE = "(CASE WHEN lower({c}) = 'worthless trash' THEN 8 WHEN contains(lower({c}), 'worthless trash') THEN 4 ELSE 0 END + CASE WHEN {p} = 'worthless trash' THEN 6 WHEN contains({p}, 'worthless trash') THEN 3 ELSE 0 END) * {w} + CASE WHEN list_contains({t}, 'worthless') THEN {w} ELSE 0 END + CASE WHEN list_contains({t}, 'trash') THEN {w} ELSE 0 END"
 _FIELDS = {"rule_id": 6, "message": 4, "path": 3, "severity": 1}
-_PARTS = {c: {"c": c, "w": w, "p": f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')", "t": f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"} for c, w in _FIELDS.items()}
+_PARTS = {c: {"c": c, "w": w, "p": f"array_to_string(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'), ' ')", "t": f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"} for c, w in _FIELDS.items()}
 _EVERY = " AND ".join("(" + " OR ".join(f"list_contains({p['t']}, '{word}')" for p in _PARTS.values()) + ")" for word in ("worthless", "trash"))
 
 
@@ -367,7 +367,7 @@ _KNOWN = "SELECT DISTINCT replace(split_part(host, '.', 1) || split_part(host, '
 _FUZZY = "SELECT n.name, k.matched, CASE WHEN translate(lower(name), '-_.', '') = translate(lower(matched), '-_.', '') THEN 0 ELSE 1 END AS class, CAST(least(length(translate(lower(name), '-_.', '')), length(translate(lower(matched), '-_.', ''))) AS DOUBLE) / greatest(length(translate(lower(name), '-_.', '')), length(translate(lower(matched), '-_.', ''))) AS score FROM names n JOIN known k ON contains(translate(lower(name), '-_.', ''), translate(lower(matched), '-_.', '')) OR contains(translate(lower(matched), '-_.', ''), translate(lower(name), '-_.', ''))"
 
 
-@query(with_views("SELECT name, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' WHEN class = 0 THEN 'matched' ELSE 'heuristic' END AS status, CASE WHEN n = 1 THEN matched END AS matched, CASE WHEN n = 1 THEN score END AS score FROM names LEFT JOIN (SELECT name, count(*) AS n, min(class) AS class, min(matched) AS matched, max(score) AS score FROM (SELECT *, rank() OVER (PARTITION BY name ORDER BY class, score DESC) AS r FROM f) WHERE r = 1 GROUP BY name) USING (name)", "rest", names=_NAMES, known=_KNOWN, f=_FUZZY))
+@query(with_views("SELECT name, CASE WHEN n IS NULL THEN 'unmapped' WHEN class = 0 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'heuristic' END AS status, CASE WHEN n = 1 OR class = 0 THEN matched END AS matched, CASE WHEN n = 1 OR class = 0 THEN score END AS score FROM names LEFT JOIN (SELECT name, count(*) AS n, min(class) AS class, min(matched) AS matched, max(score) AS score FROM (SELECT *, rank() OVER (PARTITION BY name ORDER BY class, score DESC) AS r FROM f) WHERE r = 1 GROUP BY name) USING (name)", "rest", names=_NAMES, known=_KNOWN, f=_FUZZY))
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     host = F.regexp_extract("snippet", r"^[a-z]+://([^/?#]+)", 1)
     rows = T.rest_endpoints(spark, d).select("id", F.split_part(host, F.lit("."), F.lit(1)).alias("a"), F.split_part(host, F.lit("."), F.lit(2)).alias("b"))

@@ -60,7 +60,7 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 def rest_endpoints(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", "url")
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#.]+)", 1)
     path = E.rest_path(F.col("url"))
     serve = F.col("page_id") % 2 == 1
     shown = F.when(serve, F.regexp_replace(path, r"/[0-9]+(\.html)?", "/{id}")).otherwise(path)
@@ -112,8 +112,8 @@ SQL = {
     "depm": "SELECT *, CAST(failure_calls AS DOUBLE) / calls AS error_rate, duration_us / (CAST(calls AS DOUBLE) * 1000) AS average_ms FROM deps",
     "lat": "SELECT 'svc' || (user_id % 7) AS service, event_type AS transaction, ts, CAST(value AS DECIMAL(18,2)) AS duration_us, event_id % 10 <> 0 AS known, event_id % 10 <> 0 AND event_type <> 'error' AS success, CAST(ceil((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 3600000000.0) - 1 AS BIGINT) AS w FROM events",
     "spans": "SELECT conv_id AS trace_id, turn AS span_id, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent_id, 'svc' || (turn % (1 + conv_id % 3)) AS service, conv_id * 700 + turn * 50 AS ts, CAST(coalesce(length(text), 0) AS BIGINT) AS duration_us, CASE WHEN coalesce(length(text), 0) % 7 = 0 THEN 'failure' ELSE 'success' END AS outcome, role AS name FROM conversations",
-    "raw_rest": "SELECT page_id AS id, page_id % 2 = 1 AS is_serve, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace('/' || regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/{2,}', '/', 'g') AS path, url FROM pages",
-    "rest": "SELECT id, CASE WHEN is_serve THEN 'serve' ELSE 'call' END AS role, CASE WHEN is_serve THEN host ELSE 'caller' || (id % 5) END AS system, 'GET ' || CASE WHEN is_serve THEN regexp_replace(path, '/[0-9]+(\\.html)?', '/{id}', 'g') ELSE path END AS topic, host, url FROM raw_rest",
+    "raw_rest": "SELECT page_id AS id, page_id % 2 = 1 AS is_serve, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/?#.]+)', 1) AS label, regexp_replace('/' || regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/{2,}', '/', 'g') AS path, url FROM pages",
+    "rest": "SELECT id, CASE WHEN is_serve THEN 'serve' ELSE 'call' END AS role, CASE WHEN is_serve THEN label ELSE 'caller' || (id % 5) END AS system, 'GET ' || CASE WHEN is_serve THEN regexp_replace(path, '/[0-9]+(\\.html)?', '/{id}', 'g') ELSE path END AS topic, host, label, url FROM raw_rest",
     "flows": "SELECT DISTINCT source, target, p_brand AS topic, p_type AS message_type FROM trade JOIN part ON l_partkey = p_partkey",
     "kafka": "SELECT DISTINCT 'produce' AS role, source AS system, topic, message_type FROM flows WHERE topic <> 'Brand#3' AND (topic <> 'Brand#2' OR message_type <> 'ECONOMY') UNION SELECT DISTINCT 'consume', target, topic, message_type FROM flows WHERE length(topic) = 7",
     "kafka_edges": "SELECT DISTINCT p.system AS source, c.system AS target, p.topic FROM kafka p JOIN kafka c ON p.topic = c.topic AND p.role = 'produce' AND c.role = 'consume' AND p.system <> c.system",

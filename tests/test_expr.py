@@ -55,7 +55,7 @@ def test_units_and_ids(spark):
 
 
 def test_classifiers(spark):
-    assert values(spark, E.error_category(F.col("a")), a=["Read timed out", "Connection refused", "403 Forbidden", "", "boom"]) == ["timeout", "connection", "authorization", "unknown", "other"]
+    assert values(spark, E.error_category(F.col("a")), a=["ReadTimeout", "Connection refused", "403 Forbidden", "", "boom", "Throttled"]) == ["timeout", "connection", "authorization", None, "failure", "throttling"]
     assert values(spark, E.span_label(F.col("a"), F.col("b"), F.col("c")), a=["get", None, "get"], b=["/x/{id}", None, "/x y"], c=[None, "orders.v1", None]) == ["GET /x/{id}", "orders.v1", None]
     assert values(spark, E.severity_rank(F.col("a")), a=["INFO", "ERROR", "x"]) == [0, 2, -1]
     assert values(spark, E.is_test_source(F.col("a")), a=["a/src/test/x", "src/integrationTest/y", "src/main/test/z"]) == [True, True, False]

@@ -32,7 +32,7 @@ def test_configuration(spark):
     assert rows(files.properties(docs)) == [("p.properties", "a.b", "2"), ("p.properties", "c", "x=y")]
     assert rows(files.yaml_properties(docs)) == [("q.yml", "a.b", "true"), ("q.yml", "a.c[0]", "1"), ("q.yml", "a.c[1]", "2"), ("q.yml", "d", "x")]
     code = spark.createDataFrame([("X.java", '@Value("${db.password:x}") env.getProperty("server.port")')], "path string, text string")
-    assert rows(files.property_templates(code)) == [("X.java", "db.password", "<secret>"), ("X.java", "server.port", "8080")]
+    assert rows(files.property_templates(code)) == [("X.java", "db.password", "<secret>"), ("X.java", "server.port", "0")]
 
 
 def test_manifests(spark):

@@ -12,7 +12,8 @@ and no stack: separators between two digits (or dots inside a domain) are first
 one, which keeps offsets. Offsets are code points, end exclusive.
 
 Defined results: a null text is like an empty one, without spans; repeated rows have spans each; without candidates, or
-without examples of both kinds, only base spans are returned; an empty table gives an empty table.
+without examples of both kinds, only base spans are returned; an empty table gives an empty table;
+input columns are kept, but one that has an added column's name is replaced (redacting returns the input's columns).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import besides, materialise, own_names, plain_names
 
 #: Fixed value: the kinds, in the order of reports.
 KINDS = ("email", "ip", "card", "phone")
@@ -241,31 +242,32 @@ class Trees:
 
 
 def thresholds(trees: Trees, rows: Iterable[tuple[tuple[int, ...], float, float]]) -> dict[int, float]:
-    """For each kind the lowest score from which on at least PRECISION of the calibration candidates are confirmed."""
+    """For each kind the lowest score, LEAST_SCORE at least, from which on PRECISION of the calibration candidates are
+    confirmed: half way between the last level where they are and the next one where they are not."""
     by: dict[int, list[tuple[float, float, float]]] = {}
     for features, pos, neg in rows:
         by.setdefault(features[0], []).append((trees.score(features), pos, neg))
     out = {}
     for kind, scored in by.items():
         pos = neg = 0.0
-        for score in sorted({s for s, _, _ in scored}, reverse=True):
+        levels = [s for s in sorted({s for s, _, _ in scored}, reverse=True) if s >= LEAST_SCORE]
+        for score, below in zip(levels, [*levels[1:], None]):
             pos += sum(p for s, p, _ in scored if s == score)
             neg += sum(n for s, _, n in scored if s == score)
-            if score < LEAST_SCORE:
-                break
             if pos >= PRECISION * (pos + neg):
-                out[kind] = score
+                out[kind] = LEAST_SCORE if below is None else (score + below) / 2
     return out
 
 
 def found(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with base_spans and spans: arrays of (kind, s, e) in the order of kind and start.
     A scratch table holds these columns and the candidates between the two reads."""
-    kept = docs.columns if keep is None else keep
-    rows = with_candidates(docs, text_col).select(*kept, "candidates")
+    kept = [f"`{c}`" for c in besides(docs.columns if keep is None else keep, ("candidates", "fold", "base_spans", "spans"))]
+    fold = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(5)) == 0
+    rows = with_candidates(docs, text_col).withColumn("fold", F.coalesce(fold, F.lit(False))).select(*kept, "candidates", "fold")
     holding = F.filter("candidates", lambda c: c["base"])
     rows = materialise(rows.withColumn("base_spans", F.transform(holding, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))))
-    one = rows.where(F.size("candidates") > 0).select((F.pmod(F.hash("candidates"), F.lit(5)) == 0).alias("check"), F.explode("candidates").alias("c"))
+    one = rows.where(F.size("candidates") > 0).select(F.col("fold").alias("check"), F.explode("candidates").alias("c"))
     counts = one.where(F.col("c")["base"] | ~F.col("c")["near"]).select("check", F.col("c")["f"].alias("f"), F.col("c")["base"].alias("yes"))
     got = counts.groupBy("check", "f").agg(F.sum(F.col("yes").cast("double")).alias("p"), F.sum((~F.col("yes")).cast("double")).alias("n")).collect()  # combinations of small ranges
     learn = sorted((tuple(r["f"]), r["p"], r["n"]) for r in got if not r["check"])
@@ -280,7 +282,7 @@ def found(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         def chosen(c: Column) -> Column:
             bound = F.lit(2.0)
             for kind, score in least.items():
-                bound = F.when(c["kind"] == kind, F.lit(score - 1e-9)).otherwise(bound)
+                bound = F.when(c["kind"] == kind, F.lit(score)).otherwise(bound)
             return trees.column(c["f"]) >= bound
 
         free = F.filter("candidates", lambda c: ~c["base"] & ~c["near"] & chosen(c))
@@ -293,9 +295,7 @@ def found(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans go as one, named by the first."""
-    own = docs.columns
-    plain = docs.select([F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(own)])
-    text = f"in_{own.index(text_col)}"
+    plain, text = plain_names(docs, text_col)
     rows = found(plain, text)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
@@ -308,7 +308,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     parts = F.aggregate(by_start, start, step, lambda a: F.array_append(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
     rows = rows.withColumn(text, F.when(F.size("spans") > 0, F.array_join(parts, "")).otherwise(F.col(text)))
-    return rows.select([F.col(f"in_{i}").alias(c) for i, c in enumerate(own)])
+    return own_names(rows, docs)
 
 
 def _reported(spans: str) -> Column:

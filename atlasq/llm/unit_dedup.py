@@ -27,7 +27,7 @@ from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, to
 from .shared import SPACED, Words, places, slices, splitmix
 
 #: Words in a unit that can begin a run, words in a run, and bytes of text in a pack.
-SEED, RUN, PACK_BYTES = 4, 12, 12_000_000
+SEED, RUN, PACK_BYTES = 4, 12, 8_000_000
 
 _PACKED = "pack bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary"
 _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<start:int,end:int>>, text string"

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .shared import besides
 
 #: Distinct pre-tokens that a Python worker remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 650_000, 64
 #: Lengths at which the states of a pre-token's beginning are remembered for others.
 STEMS = (7,)
 #: Texts whose results are held at once.

@@ -53,7 +53,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.op7_unit_dedup(table(spark, sf_dir, "documents"))
+    return unit_dedup.op7_unit_dedup(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ its words, ASCII letters lowered, joined by single spaces, and hashed. The occur
 then offset) stays; all others are repeats. What goes are runs of repeats with at least RUN words in units of SEED words or
 more; shorter units between them go along, and one that is no repeat may be bridged. So everyday short lines stay.
 
+With ``passages``, as the registered query has it, more pieces than units are hashed, and what goes is no longer bound to long
+units: short units count towards RUN, too, where they stand in a run of whole units with RUN words (the shortest from each
+unit on) that is itself a repeat. A text of short units that are all known, but not in this order, stays.
+
 Digests are grouped over the whole corpus by the rounds of ``packs``: a pack asks once for each of its distinct digests, with
 the lowest rank it has, so a line in every document is no hot key.
 
@@ -29,20 +33,47 @@ from .shared import SPACED, Words, places, slices, splitmix
 #: Words in a unit that can begin a run, words in a run, and bytes of text in a pack.
 SEED, RUN, PACK_BYTES = 4, 12, 8_000_000
 
-_PACKED = "pack bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary"
+_PACKED = "pack bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary, n_more binary, more_digests binary, more_starts binary, more_ends binary, more_kinds binary"
 _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<start:int,end:int>>, text string"
+#: Kinds of pieces besides units.
+OF_UNITS = 1
+#: Base of the polynomial that hashes runs of words.
+_BASE = 0x9E3779B97F4A7C13
+
+
+class Runs:
+    """Digests of any runs of words of some texts."""
+
+    def __init__(self, words: Words) -> None:
+        n = len(words.hash)
+        power, self.inverse = (np.append(np.uint64(1), np.cumprod(np.full(n, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        self.sums = np.append(np.uint64(0), np.cumsum(words.hash * power[:-1], dtype=np.uint64))
+
+    def digest(self, begin: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+        """Of the words from begin to before end, another one for each kind."""
+        return splitmix(splitmix((self.sums[end] - self.sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)) + np.uint64(kind))
+
+
+def shortest(doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last piece of the shortest run of pieces from each on that has RUN words in one text, where there is one."""
+    last = np.searchsorted(at + size, at + RUN)
+    first = np.flatnonzero(last < len(at))
+    first = first[doc[last[first]] == doc[first]]
+    return first, last[first]
 
 
 class Units:
-    """Units of some texts: the text of each, digest, code point offsets and number of words."""
+    """Units of some texts: the text of each, digest, code point offsets and number of words; and with ``passages`` the other
+    pieces (``more``): the text of each, digest, code point offsets and kind."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, passages: bool = False) -> None:
         words = Words(texts, SPACED)
         n, data = len(words.start), words.data
         self.n_texts = len(texts)
         if not n:
             self.doc = self.start = self.end = self.words = np.zeros(0, np.int64)
             self.digest = np.zeros(0, np.uint64)
+            self.more = [self.doc, self.digest, self.doc, self.doc, self.doc]
             return
         first, last = data[words.start], data[words.end - 1]
         second = data[np.minimum(words.start + 1, len(data) - 1)]
@@ -60,12 +91,31 @@ class Units:
         base = points[(np.cumsum(lengths) - lengths)[self.doc]]
         self.start = points[words.start[at]] - base
         self.end = points[words.end[at + size - 1]] - base
+        pieces = self._pieces(words, at, size) if passages else []
+        begin, end, digest, kind = (np.concatenate(x) for x in zip(*pieces)) if pieces else (at[:0], at[:0], self.digest[:0], at[:0])
+        order = np.argsort(words.doc[begin], kind="stable")
+        begin, end = begin[order], end[order]
+        base = points[(np.cumsum(lengths) - lengths)[words.doc[begin]]]
+        self.more = [words.doc[begin], digest[order], points[words.start[begin]] - base, points[words.end[end - 1]] - base, kind[order]]
+
+    def _pieces(self, words: Words, at: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First word, word behind the last, digest and kind of the other pieces."""
+        of, out = Runs(words), []
+
+        def add(begin: np.ndarray, end: np.ndarray, kind: int) -> None:
+            out.append((begin, end, of.digest(begin, end, kind), np.full(len(begin), kind)))
+
+        first, last = shortest(self.doc, at, size)
+        short = np.append(0, np.cumsum(size < SEED))
+        some = short[last + 1] > short[first]
+        add(at[first[some]], (at + size)[last[some]], OF_UNITS)
+        return out
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_texts)
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
     """(id, rank, text) as packed rows."""
     number, held, size = (TaskContext.get().partitionId() << 32) - 1, [], 0
 
@@ -75,13 +125,15 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ranks, texts = (pa.concat_arrays([h[k] for h in held]) for k in range(3))
         units = [h[3] for h in held]
         blobs = [np.concatenate([u.counts() for u in units]).astype(np.uint32), np.concatenate([u.digest for u in units]), *(np.concatenate([getattr(u, k) for u in units]).astype(np.uint32) for k in ("start", "end", "words"))]
+        more = [np.concatenate([u.more[k] for u in units]) for k in range(1, 5)]
+        blobs += [np.concatenate([np.bincount(u.more[0], minlength=u.n_texts) for u in units]).astype(np.uint32), more[0], *(x.astype(np.uint32) for x in more[1:3]), more[3].astype(np.uint8)]
         ends = pa.array([0, len(ids)], pa.int32())
         held.clear()
         return batch_of(_PACKED, [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in (ids, ranks, texts)), *(pa.array([pack(b)], pa.binary()) for b in blobs)])
 
     for batch in batches:
         for i, texts in slices(batch.column(2)):
-            held.append((batch.column(0).slice(i, len(texts)), batch.column(1).slice(i, len(texts)), texts, Units(texts)))
+            held.append((batch.column(0).slice(i, len(texts)), batch.column(1).slice(i, len(texts)), texts, Units(texts, passages)))
             size += texts.nbytes
             if size >= PACK_BYTES:
                 yield made()
@@ -101,8 +153,8 @@ def _first_of(digest: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[
 def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            digest, start, n_units = unpack(row["digests"], np.uint64), unpack(row["starts"], np.uint32), unpack(row["n_units"], np.uint32)
-            rank = np.repeat(np.array(row["ranks"], np.int64), n_units)
+            digest, start = (np.concatenate([unpack(row[k], kind), unpack(row[f"more_{k}"], kind)]) for k, kind in (("digests", np.uint64), ("starts", np.uint32)))
+            rank = np.concatenate([np.repeat(np.array(row["ranks"], np.int64), unpack(row[k], np.uint32)) for k in ("n_units", "n_more")])
             keys, first, times = _first_of(digest, rank, start)
             yield from asked(row["pack"], keys, rank[first], start[first].astype(np.uint64) * np.uint64(2) + (times > 1), parts)
 
@@ -120,8 +172,8 @@ def _owned(table: pa.Table) -> pa.Table:
     return told_table(rows, keys, answer, None, None, [])
 
 
-def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int]) -> list[tuple[int, int, int]]:
-    """What goes from one text: start, end and number of units of each run."""
+def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int], sure: list[bool] | None = None) -> list[tuple[int, int, int]]:
+    """What goes from one text: start, end and number of units of each run. sure: short units that count, too."""
     out, k, n = [], 0, len(repeat)
     while k < n:
         if not repeat[k]:
@@ -133,7 +185,7 @@ def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int])
             k += 1
             if repeat[k]:
                 last = k
-                seeds += words[k] * (words[k] >= SEED)
+                seeds += words[k] * (words[k] >= SEED or bool(sure and sure[k]))
         k = last + 1
         if seeds >= RUN:
             out.append((start[first], end[last], last - first + 1))
@@ -151,21 +203,37 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def _covered(units: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which units lie in one of the spans. Places grow over all texts."""
+    n = len(units[0])
+    steps = np.bincount(np.searchsorted(units[0], start), minlength=n + 1) - np.bincount(np.searchsorted(units[1], end, side="right"), minlength=n + 1)
+    return np.cumsum(steps)[:n] > 0
+
+
 def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
     out = []
     for row in own.to_pylist():
         n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
         digest, start, end, words = unpack(row["digests"], np.uint64), *(unpack(row[k], np.uint32) for k in ("starts", "ends", "words"))
-        rank = np.repeat(np.array(row["ranks"], np.int64), n_units)
-        keys, first, _ = _first_of(digest, rank, start)
+        n_more, kinds = unpack(row["n_more"], np.uint32).astype(np.int64), unpack(row["more_kinds"], np.uint8)
+        all_digests, all_starts, all_ends = (np.concatenate([x, unpack(row[f"more_{k}"], x.dtype.type)]) for k, x in (("digests", digest), ("starts", start), ("ends", end)))
+        number = np.concatenate([np.repeat(np.arange(len(n_units)), n) for n in (n_units, n_more)])
+        keys, first, _ = _first_of(all_digests, np.array(row["ranks"], np.int64)[number], all_starts)
         answer = answer_of(told, 1, np.uint8)
-        repeat = ((answer & 1) > 0)[np.searchsorted(keys, digest)]
-        repeat[first[answer == 3]] = False
+        which = np.searchsorted(keys, all_digests)
+        repeated = ((answer & 1) > 0)[which]
+        repeated[first[answer == 3]] = False
+        earliest = first[which]
+        repeated &= (answer[which] != 3) | (number[earliest] != number) | (all_ends[earliest] <= all_starts)  # what overlaps the one that stays is none
+        repeat, again = repeated[: len(digest)], repeated[len(digest) :]
+        place = (number << 32) + all_starts, (number << 32) + all_ends
+        units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
+        sure = _covered(units, *(x[again & (kinds == OF_UNITS)] for x in more))
         removed, texts, counts = [], [], []
         bounds = np.append(0, np.cumsum(n_units)).tolist()
-        some = np.append(0, np.cumsum(repeat & (words >= SEED)))
+        some = np.append(0, np.cumsum(repeat & (sure | (words >= SEED))))
         for text, a, b in zip(row["texts"], bounds, bounds[1:]):
-            spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end))) if some[b] > some[a] else []
+            spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end, sure))) if some[b] > some[a] else []
             removed.append([{"start": s, "end": e} for s, e, _ in spans])
             counts.append(sum(n for *_, n in spans))
             texts.append(without(text, spans))
@@ -174,19 +242,19 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: Column | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: Column | None = None, passages: bool = False) -> DataFrame:
     """(id, n_units, n_removed, removed, text): what goes from each document as spans of its original text, and what stays.
-    rank: which occurrence is the earliest, by default the id."""
+    rank: which occurrence is the earliest, by default the id. passages: hash more pieces than units."""
     kind = docs.schema[id_col].dataType.simpleString()
     order = F.coalesce((F.col(id_col) if rank is None else rank).cast("bigint"), F.lit(2**63 - 1))
-    rounds = Rounds(docs.sparkSession, docs.select(F.col(id_col).alias("id"), order.alias("rank"), F.col(text_col).alias("text")).mapInArrow(_packs, _PACKED.format(kind=kind)))
+    rounds = Rounds(docs.sparkSession, docs.select(F.col(id_col).alias("id"), order.alias("rank"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _packs(batches, passages), _PACKED.format(kind=kind)))
     parts, schema = rounds.parts, "id x, n_units x, n_removed x, removed x, text x"
-    questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
+    questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts", "n_more", "more_digests", "more_starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
     told = rounds.told(questions, _owned, "units")
-    return rounds.finish(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words"], [told], lambda own, answers: _kept(own, answers, schema), _RESULT.format(kind=kind)))
+    return rounds.finish(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], [told], lambda own, answers: _kept(own, answers, schema), _RESULT.format(kind=kind)))
 
 
-def op7_unit_dedup(docs: DataFrame) -> DataFrame:
+def op7_unit_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
     """The result of query op7 over documents: removed spans as start:end, comma-joined, and the text that stays."""
     spans = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit(":"), r["end"].cast("string"))), ",")
-    return deduplicated(docs).select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"), "text")
+    return deduplicated(docs, passages=passages).select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"), "text")

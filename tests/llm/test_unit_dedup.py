@@ -58,3 +58,17 @@ def test_repeated_ids_and_odd_tables(spark, odd):
 def test_runs():
     assert unit_dedup.runs([True, False, True, True, False, False, True], [6, 2, 6, 3, 2, 2, 20], [0, 10, 20, 30, 40, 50, 60], [9, 19, 29, 39, 49, 59, 69]) == [(0, 39, 4), (60, 69, 1)]
     assert unit_dedup.runs([True, True], [6, 5], [0, 10], [9, 19]) == []
+
+
+def whole(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    return [r["text"] for r in unit_dedup.op7_unit_dedup(rows, passages=True).orderBy("doc_id").collect()]
+
+
+def test_repeats_of_short_units_go(spark):
+    shouted = " ".join(f"WORD{k}!!" for k in range(60))
+    mixed = " ".join(f"WORD{k * 7 % 60}!!" for k in range(60))
+    lines = "\n".join(f"Line {k}." for k in range(40))
+    got = whole(spark, [shouted, lines, f"Some more.\n{shouted}\n{lines}", mixed])
+    assert got[:2] == [shouted, lines] and got[2].strip() == "Some more."
+    assert got[3] == mixed  # known words in another order are no repeat

@@ -8,7 +8,10 @@ more; shorter units between them go along, and one that is no repeat may be brid
 
 With ``passages``, as the registered query has it, more pieces than units are hashed, and what goes is no longer bound to long
 units: short units count towards RUN, too, where they stand in a run of whole units with RUN words (the shortest from each
-unit on) that is itself a repeat. A text of short units that are all known, but not in this order, stays.
+unit on) that is itself a repeat. A text of short units that are all known, but not in this order, stays. Passages that begin
+or end inside a unit are found by cuts that depend on the words alone: before one in CUT pairs of neighbouring words, chosen by
+their hash. Runs of pieces between cuts with RUN words (again the shortest from each cut on) go where they are repeats. What
+may stay of such a passage are the words before its first cut and behind its last, CUT each on average.
 
 Digests are grouped over the whole corpus by the rounds of ``packs``: a pack asks once for each of its distinct digests, with
 the lowest rank it has, so a line in every document is no hot key.
@@ -35,8 +38,10 @@ SEED, RUN, PACK_BYTES = 4, 12, 8_000_000
 
 _PACKED = "pack bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary, n_more binary, more_digests binary, more_starts binary, more_ends binary, more_kinds binary"
 _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<start:int,end:int>>, text string"
+#: One in so many pairs of words is a cut.
+CUT = 8
 #: Kinds of pieces besides units.
-OF_UNITS = 1
+OF_UNITS, OF_CUTS = 1, 2
 #: Base of the polynomial that hashes runs of words.
 _BASE = 0x9E3779B97F4A7C13
 
@@ -109,6 +114,14 @@ class Units:
         short = np.append(0, np.cumsum(size < SEED))
         some = short[last + 1] > short[first]
         add(at[first[some]], (at + size)[last[some]], OF_UNITS)
+        n = len(words.hash)
+        cut = np.ones(n, bool)
+        cut[1:] = words.doc[1:] != words.doc[:-1]
+        cut[:-1] |= splitmix(words.hash[:-1] * np.uint64(3) + words.hash[1:]) % np.uint64(CUT) == 0
+        cuts = np.flatnonzero(cut)
+        ends = np.append(cuts[1:], n)
+        first, last = shortest(words.doc[cuts], cuts, ends - cuts)
+        add(cuts[first], ends[last], OF_CUTS)
         return out
 
     def counts(self) -> np.ndarray:
@@ -192,6 +205,19 @@ def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int],
     return out
 
 
+def merged(spans: list[tuple[int, int, int]], others: list[tuple[int, int]], start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """The union of spans and others, with the number of units that each one is the first to take words from."""
+    out: list[list[int]] = []
+    for a, b in sorted([(a, b) for a, b, _ in spans] + others):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    ends = np.searchsorted(start, [b for _, b in out])
+    begins = np.maximum(np.searchsorted(end, [a for a, _ in out], side="right"), np.append(0, ends[:-1]))
+    return [(a, b, n) for (a, b), n in zip(out, (ends - begins).tolist())]
+
+
 def without(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text that stays; a line that becomes empty goes with its line feed."""
     parts, at = [], 0
@@ -229,11 +255,16 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
         place = (number << 32) + all_starts, (number << 32) + all_ends
         units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
         sure = _covered(units, *(x[again & (kinds == OF_UNITS)] for x in more))
+        some_cuts = again & (kinds == OF_CUTS)
+        cut_spans = list(zip(all_starts[len(digest) :][some_cuts].tolist(), all_ends[len(digest) :][some_cuts].tolist()))
+        more_bounds = np.searchsorted(number[len(digest) :][some_cuts], np.arange(len(n_units) + 1)).tolist()
         removed, texts, counts = [], [], []
         bounds = np.append(0, np.cumsum(n_units)).tolist()
         some = np.append(0, np.cumsum(repeat & (sure | (words >= SEED))))
-        for text, a, b in zip(row["texts"], bounds, bounds[1:]):
+        for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
             spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end, sure))) if some[b] > some[a] else []
+            if j > i:
+                spans = merged(spans, cut_spans[i:j], start[a:b], end[a:b])
             removed.append([{"start": s, "end": e} for s, e, _ in spans])
             counts.append(sum(n for *_, n in spans))
             texts.append(without(text, spans))

@@ -72,3 +72,14 @@ def test_repeats_of_short_units_go(spark):
     got = whole(spark, [shouted, lines, f"Some more.\n{shouted}\n{lines}", mixed])
     assert got[:2] == [shouted, lines] and got[2].strip() == "Some more."
     assert got[3] == mixed  # known words in another order are no repeat
+
+
+def test_passages_inside_units_go(spark):
+    passage = " ".join(f"token{k}" for k in range(70))
+    tall = [f"one{i} begins so {passage} and goes{i} on{i} here" for i in range(4)]
+    got = whole(spark, tall)
+    assert got[0] == tall[0]
+    for i, text in enumerate(got[1:], 1):
+        assert f"one{i}" in text and f"goes{i} on{i} here" in text and sum(w in text.split() for w in passage.split()) <= 35
+    periodic = "again and " * 30
+    assert whole(spark, [periodic])[0].split()[:12] == periodic.split()[:12]

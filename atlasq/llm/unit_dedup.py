@@ -11,7 +11,8 @@ units: short units count towards RUN, too, where they stand in a run of whole un
 unit on) that is itself a repeat. A text of short units that are all known, but not in this order, stays. Passages that begin
 or end inside a unit are found by cuts that depend on the words alone: before one in CUT pairs of neighbouring words, chosen by
 their hash. Runs of pieces between cuts with RUN words (again the shortest from each cut on) go where they are repeats. What
-may stay of such a passage are the words before its first cut and behind its last, CUT each on average.
+may stay of such a passage are the words before its first cut and behind its last, CUT each on average. A whole line of SEED
+words or more that is a repeat goes in any case; RUN holds for parts of lines and for lines of fewer words.
 
 Digests are grouped over the whole corpus by the rounds of ``packs``: a pack asks once for each of its distinct digests, with
 the lowest rank it has, so a line in every document is no hot key.
@@ -41,7 +42,9 @@ _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<sta
 #: One in so many pairs of words is a cut.
 CUT = 8
 #: Kinds of pieces besides units.
-OF_UNITS, OF_CUTS = 1, 2
+OF_UNITS, OF_CUTS, OF_LINES = 1, 2, 3
+#: Added to the number of words of a unit that is a whole line.
+_WHOLE = 1 << 31
 #: Base of the polynomial that hashes runs of words.
 _BASE = 0x9E3779B97F4A7C13
 
@@ -96,14 +99,18 @@ class Units:
         base = points[(np.cumsum(lengths) - lengths)[self.doc]]
         self.start = points[words.start[at]] - base
         self.end = points[words.end[at + size - 1]] - base
-        pieces = self._pieces(words, at, size) if passages else []
+        line = lines[words.start[at]]
+        new_line = np.append(True, (self.doc[1:] != self.doc[:-1]) | (line[1:] != line[:-1]))
+        if passages:
+            self.words = size + _WHOLE * (new_line & np.append(new_line[1:], True))
+        pieces = self._pieces(words, at, size, new_line) if passages else []
         begin, end, digest, kind = (np.concatenate(x) for x in zip(*pieces)) if pieces else (at[:0], at[:0], self.digest[:0], at[:0])
         order = np.argsort(words.doc[begin], kind="stable")
         begin, end = begin[order], end[order]
         base = points[(np.cumsum(lengths) - lengths)[words.doc[begin]]]
         self.more = [words.doc[begin], digest[order], points[words.start[begin]] - base, points[words.end[end - 1]] - base, kind[order]]
 
-    def _pieces(self, words: Words, at: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def _pieces(self, words: Words, at: np.ndarray, size: np.ndarray, new_line: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """First word, word behind the last, digest and kind of the other pieces."""
         of, out = Runs(words), []
 
@@ -122,6 +129,10 @@ class Units:
         ends = np.append(cuts[1:], n)
         first, last = shortest(words.doc[cuts], cuts, ends - cuts)
         add(cuts[first], ends[last], OF_CUTS)
+        first = np.flatnonzero(new_line)
+        begin, end = at[first], np.append(at[first[1:]], n)
+        some = (np.diff(np.append(first, len(at))) > 1) & (end - begin >= SEED) & (end - begin < RUN)  # longer ones are runs
+        add(begin[some], end[some], OF_LINES)
         return out
 
     def counts(self) -> np.ndarray:
@@ -205,6 +216,12 @@ def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int],
     return out
 
 
+def joined(gone: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """The spans of units next to each other that go."""
+    steps = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
+    return list(zip(start[np.flatnonzero(steps > 0)].tolist(), end[np.flatnonzero(steps < 0) - 1].tolist()))
+
+
 def merged(spans: list[tuple[int, int, int]], others: list[tuple[int, int]], start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
     """The union of spans and others, with the number of units that each one is the first to take words from."""
     out: list[list[int]] = []
@@ -241,6 +258,7 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
     for row in own.to_pylist():
         n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
         digest, start, end, words = unpack(row["digests"], np.uint64), *(unpack(row[k], np.uint32) for k in ("starts", "ends", "words"))
+        whole, words = words >= _WHOLE, words & np.uint32(_WHOLE - 1)
         n_more, kinds = unpack(row["n_more"], np.uint32).astype(np.int64), unpack(row["more_kinds"], np.uint8)
         all_digests, all_starts, all_ends = (np.concatenate([x, unpack(row[f"more_{k}"], x.dtype.type)]) for k, x in (("digests", digest), ("starts", start), ("ends", end)))
         number = np.concatenate([np.repeat(np.arange(len(n_units)), n) for n in (n_units, n_more)])
@@ -255,6 +273,8 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
         place = (number << 32) + all_starts, (number << 32) + all_ends
         units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
         sure = _covered(units, *(x[again & (kinds == OF_UNITS)] for x in more))
+        whole = repeat & ((whole & (words >= SEED)) | _covered(units, *(x[again & (kinds == OF_LINES)] for x in more)))
+        some_whole = np.append(0, np.cumsum(whole))
         some_cuts = again & (kinds == OF_CUTS)
         cut_spans = list(zip(all_starts[len(digest) :][some_cuts].tolist(), all_ends[len(digest) :][some_cuts].tolist()))
         more_bounds = np.searchsorted(number[len(digest) :][some_cuts], np.arange(len(n_units) + 1)).tolist()
@@ -263,8 +283,12 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
         some = np.append(0, np.cumsum(repeat & (sure | (words >= SEED))))
         for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
             spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end, sure))) if some[b] > some[a] else []
-            if j > i:
-                spans = merged(spans, cut_spans[i:j], start[a:b], end[a:b])
+            others = cut_spans[i:j]
+            if some_whole[b] > some_whole[a]:
+                gone = whole[a:b] | _covered([start[a:b], end[a:b]], *np.array([x[:2] for x in spans], np.int64).reshape(-1, 2).T)
+                others = others + joined(gone, start[a:b], end[a:b])
+            if others:
+                spans = merged(spans, others, start[a:b], end[a:b])
             removed.append([{"start": s, "end": e} for s, e, _ in spans])
             counts.append(sum(n for *_, n in spans))
             texts.append(without(text, spans))

@@ -83,3 +83,9 @@ def test_passages_inside_units_go(spark):
         assert f"one{i}" in text and f"goes{i} on{i} here" in text and sum(w in text.split() for w in passage.split()) <= 35
     periodic = "again and " * 30
     assert whole(spark, [periodic])[0].split()[:12] == periodic.split()[:12]
+
+
+def test_whole_repeated_lines_go(spark):
+    got = whole(spark, [f"{k} own.\nA line of five words.\nNo {k}.\nTwo. In One short line.\nSo short.\nUnlike{k} and a line of five" for k in range(3)])
+    assert got[0].count("\n") == 5
+    assert got[1:] == [f"{k} own.\nNo {k}.\nSo short.\nUnlike{k} and a line of five" for k in (1, 2)]

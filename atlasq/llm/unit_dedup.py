@@ -12,7 +12,8 @@ unit on) that is itself a repeat. A text of short units that are all known, but
 or end inside a unit are found by cuts that depend on the words alone: before one in CUT pairs of neighbouring words, chosen by
 their hash. Runs of pieces between cuts with RUN words (again the shortest from each cut on) go where they are repeats. What
 may stay of such a passage are the words before its first cut and behind its last, CUT each on average. A whole line of SEED
-words or more that is a repeat goes in any case; RUN holds for parts of lines and for lines of fewer words.
+words or more that is a repeat goes in any case; RUN holds for parts of lines and for lines of fewer words. A bridged unit joins
+a run, but stays itself.
 
 Digests are grouped over the whole corpus by the rounds of ``packs``: a pack asks once for each of its distinct digests, with
 the lowest rank it has, so a line in every document is no hot key.
@@ -222,10 +223,10 @@ def joined(gone: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[i
     return list(zip(start[np.flatnonzero(steps > 0)].tolist(), end[np.flatnonzero(steps < 0) - 1].tolist()))
 
 
-def merged(spans: list[tuple[int, int, int]], others: list[tuple[int, int]], start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
-    """The union of spans and others, with the number of units that each one is the first to take words from."""
+def merged(spans: list[tuple[int, int]], start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """The union of spans, with the number of units that each one is the first to take words from."""
     out: list[list[int]] = []
-    for a, b in sorted([(a, b) for a, b, _ in spans] + others):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -253,7 +254,7 @@ def _covered(units: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.
     return np.cumsum(steps)[:n] > 0
 
 
-def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
+def _kept(own: pa.Table, told: pa.Table, schema: str, passages: bool) -> pa.Table:
     out = []
     for row in own.to_pylist():
         n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
@@ -284,11 +285,9 @@ def _kept(own: pa.Table, told: pa.Table, schema: str) -> pa.Table:
         for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
             spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end, sure))) if some[b] > some[a] else []
             others = cut_spans[i:j]
-            if some_whole[b] > some_whole[a]:
-                gone = whole[a:b] | _covered([start[a:b], end[a:b]], *np.array([x[:2] for x in spans], np.int64).reshape(-1, 2).T)
-                others = others + joined(gone, start[a:b], end[a:b])
-            if others:
-                spans = merged(spans, others, start[a:b], end[a:b])
+            if passages and (spans or others or some_whole[b] > some_whole[a]):
+                in_run = _covered([start[a:b], end[a:b]], *np.array([x[:2] for x in spans], np.int64).reshape(-1, 2).T)
+                spans = merged(others + joined(whole[a:b] | (in_run & repeat[a:b]), start[a:b], end[a:b]), start[a:b], end[a:b])
             removed.append([{"start": s, "end": e} for s, e, _ in spans])
             counts.append(sum(n for *_, n in spans))
             texts.append(without(text, spans))
@@ -306,7 +305,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts, schema = rounds.parts, "id x, n_units x, n_removed x, removed x, text x"
     questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts", "n_more", "more_digests", "more_starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
     told = rounds.told(questions, _owned, "units")
-    return rounds.finish(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], [told], lambda own, answers: _kept(own, answers, schema), _RESULT.format(kind=kind)))
+    return rounds.finish(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], [told], lambda own, answers: _kept(own, answers, schema, passages), _RESULT.format(kind=kind)))
 
 
 def op7_unit_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:

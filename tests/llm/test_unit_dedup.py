@@ -89,3 +89,9 @@ def test_whole_repeated_lines_go(spark):
     got = whole(spark, [f"{k} own.\nA line of five words.\nNo {k}.\nTwo. In One short line.\nSo short.\nUnlike{k} and a line of five" for k in range(3)])
     assert got[0].count("\n") == 5
     assert got[1:] == [f"{k} own.\nNo {k}.\nSo short.\nUnlike{k} and a line of five" for k in (1, 2)]
+
+
+def test_bridged_units_stay(spark):
+    before, after = "One sentence that many texts have got.", "Another sentence that many texts have got."
+    got = whole(spark, [f"{before} Yes {k}. {after}" for k in range(3)])
+    assert [x.split() for x in got[1:]] == [["Yes", "1."], ["Yes", "2."]]

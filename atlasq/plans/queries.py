@@ -227,6 +227,41 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(T.strongest_edges(spark, d, 3), ["rest"])
 
 
+# The same six over all pairs; recursive SQL over them enumerates too many ways, so paths have none.
+
+
+@query(with_views("SELECT a.source, a.target FROM pairs a JOIN pairs b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target", "pairs"))
+def two_way_cycle_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_way_pairs(T.all_edges(spark, d))
+
+
+@query()
+def closure_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(T.all_edges(spark, d))
+
+
+@query()
+def scc_cycles_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.strong_components(T.all_edges(spark, d))
+
+
+@query()
+def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.all_edges(spark, d)
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    return graph.shortest_paths(edges, spark.createDataFrame([("NATION_0",)], "node string"), nodes)
+
+
+@query(with_views("SELECT source AS node, 'out' AS direction, 'rest' AS relation, target AS neighbour FROM pairs UNION SELECT target, 'in', 'rest', source FROM pairs", "pairs"))
+def neighbors_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(T.all_edges(spark, d))
+
+
+@query(with_views("SELECT node, count(*) AS degree, count(*) AS n_rest FROM (SELECT source AS node FROM pairs UNION ALL SELECT target FROM pairs) GROUP BY node", "pairs"))
+def degrees_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(T.all_edges(spark, d), ["rest"])
+
+
 _FLOW = "SELECT topic, 1 AS depth, topic || ' > ' || system AS path, [system] AS services, system, false AS cycle_detected FROM uses WHERE topic = 'Brand#1' UNION ALL SELECT f.topic, f.depth + 1, f.path || ' > ' || m.topic || ' > ' || u.system, list_append(f.services, u.system), u.system, list_contains(f.services, u.system) FROM flow f JOIN makes m ON m.system = f.system JOIN uses u ON u.topic = m.topic WHERE NOT f.cycle_detected AND f.depth < 2"
 
 

@@ -84,6 +84,11 @@ def topic_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return made.union(used).distinct().withColumn("topic_dynamic", F.lit(False))
 
 
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """All targets of each source, no loops."""
+    return trade(spark, d).where("source <> target").select("source", "target", F.lit("rest").alias("kind"), F.lit("").alias("label")).distinct()
+
+
 def strongest_edges(spark: SparkSession, d: str, k: int) -> DataFrame:
     """The k busiest targets of each source, no loops: a sparse graph of services."""
     counts = trade(spark, d).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("calls"))

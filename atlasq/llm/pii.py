@@ -169,7 +169,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text", out_col: str = "can
     found = F.concat(
         F.when(text.contains("@"), all_of([(mailed, 0, _EMAIL, True)])).otherwise(none),
         F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), all_of(dotted)).otherwise(none),
-        F.when(text.rlike(r"[0-9][0-9][^\n]{0,12}[0-9]"), all_of(numbers)).otherwise(none),
+        F.when(text.rlike(r"[0-9][0-9][^\n]{0,12}[0-9]|[0-9][\x20-]?[0-9][\x20-]?[0-9]"), all_of(numbers)).otherwise(none),
         F.when(text.contains("+"), all_of(plus)).otherwise(none),
     )
     return docs.withColumn(out_col, _with_near(found))

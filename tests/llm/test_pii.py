@@ -79,3 +79,11 @@ def test_redaction_odd_and_empty_tables(spark, odd):
     out = pii.redacted(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert pii.op4_pii(odd.where("false")).count() == 0 and pii.found(odd).count() == odd.count()
+
+
+def test_card_with_a_separator_behind_every_digit(spark):
+    texts = [sep.join("4111111111111111") for sep in " -"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pii.op4_pii(docs).collect():
+        assert (r["n_card"], r["spans"]) == (1, "card:0:31") and r["base_sha256"] == hashlib.sha256(b"card:0:31").hexdigest()
+    assert [r["text"] for r in pii.redacted(docs).collect()] == ["<CARD>", "<CARD>"]

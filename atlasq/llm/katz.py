@@ -1,18 +1,22 @@
-"""Katz back-off language model over words: Good-Turing discounted unigrams and bigrams, exactly normalised.
-
-    P(w | v) = d(c(v, w)) c(v, w) / c(v)                     if the bigram was seen in training
-             = a(v) P(w)                                       otherwise, with P(w) = d(c(w)) c(w) / N
-
-d is the Good-Turing ratio for counts up to LARGE, 1 above. What the discount of a history's bigrams frees, divided by the
-unigram probability of all words not seen after it, is its back-off weight a(v); what the discount of unigrams frees is
-the probability of the unknown word. So every distribution sums to one over the vocabulary and the unknown word.
-
-The corpus is read once. A task packs a few million tokens into one row: its distinct words and bigrams with training
-counts, and its texts as numbers of those bigrams. Three rounds then look up, for the distinct keys of each such row, what
-the whole corpus knows: unigram counts, bigram counts, back-off weights. In each round the keys go to partitions of
-the hash space, are summed there, and the totals return, one value for each key asked. However frequent a word or copied
-a text, a row asks for it once, so no partition is hot; totals stay in tables partitioned by hash. Nothing is cut off, and
-all that is gathered grows with the corpus; the driver sees only counts of counts.
+"""Katz back-off language model over words: Good-Turing discounted n-grams up to ORDER words, exactly normalised.
+
+    P(w | h) = d(c(h, w)) c(h, w) / c(h)                     if the n-gram h w was seen in training
+             = a(h) P(w | h without its first word)            if h was
+             = P(w | h without its first word)                 otherwise, and at last P(w) = d(c(w)) c(w) / N
+
+d is the Good-Turing ratio of the order for counts up to LARGE, 1 above. What the discount of a history's n-grams frees,
+divided by the lower order's probability of all words not seen after it, is its back-off weight a(h); what the discount of
+unigrams frees is the probability of the unknown word. Where nothing is freed (all counts after h are large), h counts once
+more. So every distribution sums to one over the vocabulary and the unknown word. Texts begin behind ORDER - 1 start marks.
+
+The corpus is read once. A task packs a million tokens and more into one row: its distinct words and its texts as numbers
+of words. Rounds then look up, for the distinct keys of each such row, what the whole corpus knows: the counts of words, of
+pairs, of triples, and then the back-off weights order by order. In each round the keys go to partitions of the hash space,
+are summed there, and the totals return, one value for each key asked. However frequent a word or copied a text, a row asks
+for it once, so no partition is hot. An n-gram one of whose two parts (all but the last word, all but the first) no other row
+has is in no other row either, so its count is known without asking; and only those weights are asked for that a text not
+learned from can need, or whose history has a large count. Nothing is cut off, and all that is gathered grows with the corpus;
+the driver sees only counts of counts.
 
 Defined results: a null or empty text has the end token alone; a null id counts as the empty text for the split that
 the caller makes; repeated rows are trained on and scored each; without training texts all words are the unknown word, of
@@ -25,22 +29,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, pack_keys, told_table, unpack, unpack_keys
-from .shared import SPACED, Words, crc_bucket, slices, splitmix
+from .shared import SPACED, Words, crc_bucket, materialise, slices, splitmix
 
-#: Tokens that are packed together, and the largest count that is discounted.
-PACK, LARGE = 2_000_000, 5
+#: Words in the longest n-grams, tokens that are packed together, and the largest count that is discounted.
+ORDER, PACK, LARGE = 3, 1_200_000, 5
 #: Stand-ins for the hashes of the begin and the end of a text.
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
-_PACKED = "pack bigint, ids array<{kind}>, train array<boolean>, sizes binary, words binary, word_counts binary, followers binary, pair_word binary, pair_counts binary, stream binary"
+_PACKED = "pack bigint, n_keys bigint, ids array<{kind}>, train array<boolean>, sizes binary, words binary, stream binary"
+#: Bits of an answer below the count: this row is the first that taught the key; several rows have it; a text that is not
+#: learned from has it as a history.
+_OWNED, _SHARED, _WANTED, _BITS = 1, 2, 4, 3
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch], pack_tokens: int) -> Iterator[pa.RecordBatch]:
     """(id, text, train) as packed rows."""
     number = (TaskContext.get().partitionId() << 32) - 1
     hashes: list[np.ndarray] = []
@@ -51,27 +59,12 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made() -> pa.RecordBatch:
         nonlocal number
         number += 1
-        tokens, size, teach = np.concatenate([*hashes, [START]]), np.concatenate(sizes), np.concatenate(train)
-        hashes.clear()
-        words, w = np.unique(tokens, return_inverse=True)
-        w, start, taught = w[:-1].astype(np.uint32), w[-1], np.repeat(teach, size)
-        word_counts = np.bincount(w[taught], minlength=len(words)).astype(np.uint32)
-        pairs = np.empty(len(w), np.uint64)
-        pairs[1:] = w[:-1]
-        pairs[np.cumsum(size) - size] = start
-        pairs *= np.uint64(len(words))
-        pairs += w
-        del tokens, w
-        pairs, stream = np.unique(pairs, return_inverse=True)
-        stream = stream.astype(np.uint32)
-        followers = np.bincount((pairs // np.uint64(len(words))).astype(np.int64), minlength=len(words)).astype(np.uint32)
-        pair_counts = np.bincount(stream[taught], minlength=len(pairs)).astype(np.uint32)
-        pair_word = (pairs % np.uint64(len(words))).astype(np.uint32)
-        blobs = [pack(size.astype(np.uint32)), pack_keys(words), *map(pack, (word_counts, followers, pair_word, pair_counts, stream))]
-        own, n = pa.concat_arrays(ids), len(size)
-        ends = pa.array([0, n], pa.int32())
-        columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, pa.array(teach)), *(pa.array([b], pa.binary()) for b in blobs)]
-        for held in (sizes, ids, train):
+        words, stream = np.unique(np.concatenate([*hashes, [START]]), return_inverse=True)
+        size, teach = np.concatenate(sizes), np.concatenate(train)
+        ends = pa.array([0, len(size)], pa.int32())
+        blobs = [pack(size.astype(np.uint32)), pack_keys(words), pack(stream[:-1].astype(np.uint32))]
+        columns = [pa.array([number], pa.int64()), pa.array([len(stream)], pa.int64()), pa.ListArray.from_arrays(ends, pa.concat_arrays(ids)), pa.ListArray.from_arrays(ends, pa.array(teach)), *(pa.array([b], pa.binary()) for b in blobs)]
+        for held in (hashes, sizes, ids, train):
             held.clear()
         return batch_of(_PACKED, columns)
 
@@ -80,58 +73,124 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, texts in slices(batch.column(1)):
             words = Words(texts, SPACED)
             size = np.diff(words.bounds()) + 1
-            tokens = np.insert(words.hash, np.cumsum(size - 1), END)
-            hashes.append(tokens)
+            hashes.append(np.insert(words.hash, np.cumsum(size - 1), END))
             sizes.append(size)
             ids.append(batch.column(0).slice(i, len(texts)))
             train.append(batch.column(2).slice(i, len(texts)).to_numpy(zero_copy_only=False).astype(bool))
-            waiting += len(tokens)
-            if waiting >= PACK:
+            waiting += int(size.sum())
+            if waiting >= pack_tokens:
                 yield made()
                 waiting = 0
     if sizes:
         yield made()
 
 
-class Packed:
-    """A packed row."""
-
-    def __init__(self, row: dict) -> None:
-        self.words = unpack_keys(row["words"])
-        self.followers = unpack(row["followers"], np.uint32).astype(np.int64)
-        self.v = np.repeat(np.arange(len(self.words)), self.followers)
-        self.w = unpack(row["pair_word"], np.uint32).astype(np.int64)
-
-    def pair_keys(self) -> np.ndarray:
-        return splitmix(splitmix(self.words + np.uint64(1))[self.v] + self.words[self.w])
+class Level:
+    """The distinct n-grams of one order in a packed row, sorted by history and word."""
 
-    def first(self, values: np.ndarray) -> np.ndarray:
-        """Sums of values of bigrams by their first word."""
-        return np.bincount(self.v, values, len(self.words))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, start: int) -> None:
+        self.keys, self.counts, self.start = keys, counts, start  #: start: the n-gram of start marks alone
+        self.hist = self.lower = self.held = np.zeros(0, np.int64)
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Totals of counts. An answer is twice the total, and one more for the first row that taught the key: its owner."""
-    rows, keys, unique, at = gathered(table)
-    counts = np.concatenate([unpack(r["a"], np.uint32) for r in rows]).astype(np.uint64)
+class Packed:
+    """A packed row and its n-grams up to an order."""
+
+    def __init__(self, row: dict, order: int) -> None:
+        words, self.w = unpack_keys(row["words"]), unpack(row["stream"], np.uint32).astype(np.int64)
+        self.sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        taught = np.repeat(np.array(row["train"], bool), self.sizes)
+        n, stream, start = len(words), self.w, int(np.searchsorted(words, START))
+        self.end = int(np.searchsorted(words, END))
+        self.levels = [Level(words, np.bincount(stream[taught], minlength=n), start)]
+        for k in range(2, order + 2):
+            below = self.levels[-1]
+            hist = np.empty_like(stream)
+            hist[1:] = stream[:-1]
+            hist[self.starts] = below.start
+            below.held = np.bincount(hist[~taught], minlength=len(below.keys)) > 0
+            if k > order:
+                break
+            codes, at = np.unique(np.append(hist * n + self.w, below.start * n + start), return_inverse=True)
+            at, top = at[:-1], int(at[-1])
+            own = Level(splitmix(splitmix(below.keys + np.uint64(k))[codes // n] + words[codes % n]), np.bincount(at[taught], minlength=len(codes)), top)
+            own.hist, own.lower = codes // n, np.full(len(codes), below.start)
+            own.lower[at] = stream
+            stream = at
+            self.levels.append(own)
+        self.stream = stream
+
+
+class Known:
+    """What the rounds so far told of a packed row's n-grams: totals and marks by order."""
+
+    def __init__(self, packed: Packed, told: pa.Table, order: int, prune: bool) -> None:
+        self.packed, self.totals, self.marks = packed, [], []
+        for k in range(1, order + 1):
+            own = packed.levels[k - 1]
+            open_ = self.open(k, prune)
+            answer = (own.counts.astype(np.uint64) << np.uint64(_BITS)) + np.uint64(_WANTED) * own.held.astype(np.uint64) + (own.counts > 0).astype(np.uint64)
+            answer[open_[np.argsort(own.keys[open_])]] = answer_of(told, k, np.uint64)
+            self.totals.append((answer >> np.uint64(_BITS)).astype(np.float64))
+            self.marks.append((answer & np.uint64((1 << _BITS) - 1)).astype(np.uint8))
+
+    def open(self, k: int, prune: bool) -> np.ndarray:
+        """Which n-grams of order k other rows may have, too."""
+        own = self.packed.levels[k - 1]
+        if k == 1 or not prune:
+            return np.arange(len(own.keys))
+        shared = (self.marks[k - 2] & _SHARED) > 0
+        return np.flatnonzero(shared[own.hist] & shared[own.lower])
+
+    def followed(self, k: int) -> np.ndarray:
+        """How often n-grams of order k are followed by a token: as often as they occur, and start marks as often as texts end."""
+        out = self.totals[k - 1].copy()
+        out[self.packed.levels[k - 1].start] = self.totals[0][self.packed.end]
+        return out
+
+    def asking(self, k: int) -> np.ndarray:
+        """Histories of order k whose weight has to be asked for."""
+        followed, marks = self.followed(k), self.marks[k - 1]
+        return np.flatnonzero(((marks & _SHARED) > 0) & (followed > 0) & (((marks & _WANTED) > 0) | (followed > LARGE)))
+
+
+def _stats(totals: np.ndarray) -> np.ndarray:
+    """Sum, number, and numbers of small ones of positive totals."""
+    seen = totals[totals > 0].astype(np.int64)
+    return np.concatenate([[seen.sum(), len(seen)], np.bincount(seen[seen <= LARGE + 1], minlength=LARGE + 2)[1:]]).astype(np.float64)
+
+
+def _counted(table: pa.Table, whole: bool) -> pa.Table:
+    """Totals and marks of the keys asked. Rows without keys bring statistics of n-grams that need no asking."""
+    other = [unpack(r["b"], np.float64) for r in table.filter(pc.is_null(table.column("keys"))).to_pylist()]
+    rows, keys, unique, at = gathered(table.filter(pc.is_valid(table.column("keys"))))
+    part = table.column("part")[0].as_py()
+    counts = np.concatenate([np.zeros(0, np.uint32), *(unpack(r["a"], np.uint32) for r in rows)])
     totals = np.bincount(at, counts, len(unique)).astype(np.uint64)
     taught = np.flatnonzero(counts)
     _, first = np.unique(at[taught], return_index=True)
-    answer = totals[at] * np.uint64(2)
-    answer[taught[first]] += np.uint64(1)
+    answer = totals[at] << np.uint64(_BITS)
+    answer[taught[first]] += np.uint64(_OWNED)
+    answer[np.bincount(at, minlength=len(unique))[at] > 1] += np.uint64(_SHARED)
+    held = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["b"], np.uint8) if r["b"] is not None else np.zeros(len(k), np.uint8) for r, k in zip(rows, keys))])
+    answer[np.bincount(at, held, len(unique))[at] > 0] += np.uint64(_WANTED)
     seen = totals > 0
-    small = np.bincount(totals[seen & (totals <= LARGE + 1)].astype(np.int64), minlength=LARGE + 2)[1:]
-    return told_table(rows, keys, answer, unique[seen], totals[seen], [float(totals.sum()), float(seen.sum()), *map(float, small)])
+    stats = sum(other, _stats(totals)).tolist()
+    return told_table(part, rows, keys, answer, stats, unique[seen] if whole else None, totals[seen])
 
 
-def _weighed(table: pa.Table) -> pa.Table:
-    """Freed counts (a) and unigram probability (b) of what was seen after each word, as a / (1 - b); where nothing is freed,
-    the history counts once more than it occurred, and the answer is -1 / (1 - b)."""
+def _weighed(table: pa.Table, whole: bool) -> pa.Table:
+    """Freed counts (a) and lower-order probability (b) of what was seen after each history, as its weight."""
     rows, keys, unique, at = gathered(table)
-    freed = np.bincount(at, np.concatenate([unpack(r["a"], np.float64) for r in rows]), len(unique))
-    seen = np.bincount(at, np.concatenate([unpack(r["b"], np.float64) for r in rows]), len(unique))
-    weight = np.where(freed > 0, freed, -1.0) / np.maximum(1 - seen, 1e-300)
-    return told_table(rows, keys, weight[at], unique, weight, [])
+    a, b = (np.bincount(at, np.concatenate([unpack(r[c], np.float64) for r in rows]), len(unique)) for c in ("a", "b"))
+    weight = _weight(a, b)
+    return told_table(table.column("part")[0].as_py(), rows, keys, weight[at], [], unique if whole else None, weight)
+
+
+def _weight(freed: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """a / (1 - b); where nothing is freed, the history counts once more than it occurred, and the value is -1 / (1 - b)."""
+    return np.where(freed > 0, freed, -1.0) / np.maximum(1 - seen, 1e-300)
 
 
 class Discounts:
@@ -162,79 +221,127 @@ class Unigrams:
         return np.where(counts > 0, self.by.discounted(counts) / self.over, self.unknown)
 
 
-def _known(row: dict, told: pa.Table) -> tuple[Packed, np.ndarray, np.ndarray, np.ndarray]:
-    """The packed row, its unigram totals, its bigram totals, and which bigrams it owns."""
-    packed = Packed(row)
-    words = answer_of(told, 1, np.uint64) >> np.uint64(1)
-    both = np.empty(len(packed.w), np.uint64)
-    both[np.argsort(packed.pair_keys())] = answer_of(told, 2, np.uint64)
-    return packed, words.astype(np.float64), (both >> np.uint64(1)).astype(np.float64), (both & np.uint64(1)).astype(bool)
-
-
-def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", tables: str | None = None) -> DataFrame:
+class Model:
+    """Probabilities of a packed row's n-grams, order by order."""
+
+    def __init__(self, known: Known, by: list[Discounts]) -> None:
+        self.known, self.by = known, by
+        self.seen = [Unigrams(by[0]).of(known.totals[0])]
+        self.weights: list[np.ndarray] = []
+
+    def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams of order k that this row owns, by history: freed counts, and lower-order probability."""
+        own, totals, n = self.known.packed.levels[k - 1], self.known.totals[k - 1], len(self.known.packed.levels[k - 2].keys)
+        owned = (self.known.marks[k - 1] & _OWNED) > 0
+        freed = np.where(owned, totals - self.by[k - 1].discounted(totals), 0.0)
+        return np.bincount(own.hist, freed, n), np.bincount(own.hist, np.where(owned, self.seen[k - 2][own.lower], 0.0), n)
+
+    def add(self, k: int, told: np.ndarray) -> None:
+        """Takes the weights told for the histories of order k - 1 that were asked for; others are this row's alone, or have
+        small counts and no use."""
+        own, totals = self.known.packed.levels[k - 1], self.known.totals[k - 1]
+        asked_for = self.known.asking(k - 1)
+        weight = _weight(*self.sums(k))
+        weight[((self.known.marks[k - 2] & _SHARED) > 0)] = 1.0
+        weight[asked_for[np.argsort(self.known.packed.levels[k - 2].keys[asked_for])]] = told
+        over = np.maximum(self.known.followed(k - 1) + (weight < 0), 1)
+        self.weights.append(np.where(self.known.followed(k - 1) > 0, np.abs(weight) / over, 1.0))
+        self.seen.append(np.where((weight < 0)[own.hist], totals, self.by[k - 1].discounted(totals)) / over[own.hist])
+
+    def logs(self) -> np.ndarray:
+        """log10 of the probability of each n-gram of the highest order."""
+        with np.errstate(divide="ignore"):
+            out = np.log10(self.seen[0])
+            for k in range(2, len(self.seen) + 1):
+                own = self.known.packed.levels[k - 1]
+                out = np.where(self.known.totals[k - 1] > 0, np.log10(np.maximum(self.seen[k - 1], 1e-300)), np.log10(self.weights[k - 2])[own.hist] + out[own.lower])
+        return out
+
+
+def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", tables: str | None = None, order: int = ORDER, pack_tokens: int = PACK) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for each document. train: the boolean column of those
-    to learn from. tables: a folder in which the three partitioned tables of the model stay (part, keys, told)."""
+    to learn from. tables: a folder in which the model's partitioned tables stay (part, keys, told): counts-k and weights-k of
+    order k; then all n-grams are asked for, so that the tables have all."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    rounds = Rounds(docs.sparkSession, rows.mapInArrow(_packs, _PACKED.format(kind=kind)), tables)
-    packs, parts = rounds.packs, rounds.parts
+    with Rounds(docs.sparkSession, rows.mapInArrow(lambda batches: _packs(batches, pack_tokens), _PACKED.format(kind=kind)), tables) as rounds:
+        return _scored(rounds, kind, order)
+
+
+def _scored(rounds: Rounds, kind: str, order: int) -> DataFrame:
+    parts, prune = rounds.parts, rounds.tables is None
+    base, counts, weights, by = ["words", "sizes", "train", "stream"], [], [], []
 
     def discounts(told: DataFrame) -> Discounts:
         got = told.where("pack = -1").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(LARGE + 3))).first()
         return Discounts(got[0], got[1], list(got[2:]))
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from asked(row["pack"], unpack_keys(row["words"]), unpack(row["word_counts"], np.uint32), None, parts)
+    def questions(row: dict, known: Known, k: int) -> Iterator[pa.RecordBatch]:
+        own, ask = known.packed.levels[k - 1], known.open(k, prune)
+        ask = ask[np.argsort(own.keys[ask])]
+        yield from asked(row["pack"], own.keys[ask], own.counts[ask].astype(np.uint32), own.held[ask].astype(np.uint8) if k < order else None, parts)
+        rest = np.ones(len(own.keys), bool)
+        rest[ask] = False
+        place = int(splitmix(np.array([row["pack"]], np.uint64))[0] % np.uint64(parts))
+        yield batch_of(ASKED, [pa.array([place], pa.int32()), pa.array([row["pack"]], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([pack(_stats(own.counts[rest]))], pa.binary())])
 
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = Packed(row).pair_keys()
-                order = np.argsort(keys)
-                yield from asked(row["pack"], keys[order], unpack(row["pair_counts"], np.uint32)[order], None, parts)
-
-    words_told = rounds.told(packs.select("pack", "words", "word_counts").mapInArrow(ask_words, ASKED), _counted, "unigrams")
-    pairs_told = rounds.told(packs.select("pack", "words", "followers", "pair_word", "pair_counts").mapInArrow(ask_pairs, ASKED), _counted, "bigrams")
-    first, second = discounts(words_told), discounts(pairs_told)
-    unigrams = Unigrams(first)
-
-    def ask_weights(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        for row in own.to_pylist():
-            packed, words, pairs, owned = _known(row, told)
-            freed = np.where(owned, pairs - second.discounted(pairs), 0.0)
-            out += asked(row["pack"], packed.words, packed.first(freed), packed.first(np.where(owned, unigrams.of(words)[packed.w], 0.0)), parts)
-        return pa.Table.from_batches(out)
+                yield from questions(row, Known(Packed(row, 1), None, 0, prune), 1)
+
+    def ask_counts(k: int):
+        def ask(own: pa.Table, told: pa.Table) -> pa.Table:
+            out = []
+            for row in own.to_pylist():
+                out += questions(row, Known(Packed(row, k), told, k - 1, prune), k)
+            return pa.Table.from_batches(out)
+
+        return ask
+
+    def model_of(row: dict, told: pa.Table, k: int, last: int) -> Model:
+        """Of order k, with the weights up to the last order."""
+        model = Model(Known(Packed(row, k), told, k, prune), by)
+        for j in range(2, last + 1):
+            model.add(j, answer_of(told, order + j, np.float64))
+        return model
+
+    def ask_weights(k: int):
+        def ask(own: pa.Table, told: pa.Table) -> pa.Table:
+            out = [batch_of(ASKED, [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())])]
+            for row in own.to_pylist():
+                model = model_of(row, told, k, k - 1)
+                keys, which = model.known.packed.levels[k - 2].keys, model.known.asking(k - 1)
+                which = which[np.argsort(keys[which])]
+                out += asked(row["pack"], keys[which], *(x[which] for x in model.sums(k)), parts)
+            return pa.Table.from_batches(out)
+
+        return ask
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in own.to_pylist():
-            packed, words, pairs, _ = _known(row, told)
-            weight = answer_of(told, 3, np.float64)
-            history = words.copy()  # each word but the last of a text is followed by another, so it is a history as often as it occurs
-            history[np.searchsorted(packed.words, START)] = words[np.searchsorted(packed.words, END)]
-            once_more = weight < 0
-            history_n = np.where(once_more, history + 1, history)
-            with np.errstate(divide="ignore"):
-                back = np.where(history > 0, np.log10(np.abs(weight)) - np.log10(np.maximum(history_n, 1)), 0.0)
-                of_word = np.log10(unigrams.of(words))
-                seen = np.where(once_more[packed.v], pairs, second.discounted(pairs)) / np.maximum(history_n, 1)[packed.v]
-                log = np.where(pairs > 0, np.log10(np.maximum(seen, 1e-300)), back[packed.v] + of_word[packed.w])
-            base = np.log10((words + 0.1) / (first.total + 0.1 * (first.distinct + 1)))
-            sizes, stream = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["stream"], np.uint32)
-            starts, w = np.cumsum(sizes) - sizes, packed.w[stream]
-            sums = [np.add.reduceat(x, starts) for x in ((words > 0)[w].astype(np.int64), base[w], log[stream])]
+            model = model_of(row, told, order, order)
+            packed, words = model.known.packed, model.known.totals[0]
+            base = np.log10((words + 0.1) / (by[0].total + 0.1 * (by[0].distinct + 1)))
+            sums = [np.add.reduceat(x, packed.starts) for x in ((words > 0)[packed.w].astype(np.int64), base[packed.w], model.logs()[packed.stream])]
             ids = own.column("ids").combine_chunks().flatten() if own.num_rows == 1 else pa.array(row["ids"], own.schema.field("ids").type.value_type)
-            out.append(pa.table({"id": ids, "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), int(first.total))), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])}))
+            out.append(pa.table({"id": ids, "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(packed.sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(packed.sizes), int(by[0].total))), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])}))
         return pa.concat_tables(out)
 
-    pairs_of = ["words", "followers", "pair_word"]
-    asking = rounds.with_answers(pairs_of, [words_told, pairs_told], ask_weights, ASKED)
-    weights_told = rounds.told(asking, _weighed, "weights")
+    def told_so_far() -> dict[int, DataFrame]:
+        return dict(enumerate(counts, 1)) | {order + j: df for j, df in enumerate(weights, 2)}
+
+    whole = not prune
+    counts.append(rounds.told(rounds.packs.select("pack", *base).mapInArrow(ask_words, ASKED), lambda t: _counted(t, whole), "counts-1"))
+    for k in range(2, order + 1):
+        counts.append(rounds.told(rounds.with_answers(base, told_so_far(), ask_counts(k), ASKED), lambda t: _counted(t, whole), f"counts-{k}"))
+    by += [discounts(df) for df in counts]
+    for k in range(2, order + 1):
+        answers = {j: df for j, df in told_so_far().items() if j <= k or j > order}
+        weights.append(rounds.told(rounds.with_answers(base, answers, ask_weights(k), ASKED), lambda t: _weighed(t, whole), f"weights-{k}"))
     result = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rounds.finish(rounds.with_answers(["ids", "train", "sizes", *pairs_of, "stream"], [words_told, pairs_told, weights_told], score, result))
+    return materialise(rounds.with_answers(["ids", *base], told_so_far(), score, result))
 
 
 def op1_katz(docs: DataFrame) -> DataFrame:

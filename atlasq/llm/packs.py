@@ -3,7 +3,10 @@
 A task packs its documents into a few rows (packs), each with its distinct 64-bit keys. In a round every pack asks for its
 keys; these go to ranges of the hash space, where what all packs say of a key is combined, and one value for each
 key asked returns. A pack asks for a key once, however often it has it, so no range is hot, and a range is a row of compressed
-arrays for each pack. The packs themselves lie in a table bucketed by pack and don't move.
+arrays for each pack. The packs themselves lie in a table bucketed by pack, in the shared scratch folder, and don't move. There
+are as many ranges as keep one below a few million keys, whatever the session is set for.
+
+Defined results: packs without keys ask for nothing and get empty answers; without packs there are no rows.
 """
 
 from __future__ import annotations
@@ -61,16 +64,16 @@ def gathered(table: pa.Table) -> tuple[list[dict], list[np.ndarray], np.ndarray,
     """What arrived for one range: the rows by pack, their keys, the distinct keys, and which one each is."""
     rows = sorted(table.to_pylist(), key=lambda r: r["pack"])
     keys = [unpack_keys(r["keys"]) for r in rows]
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    unique, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
     return rows, keys, unique, at
 
 
-def told_table(rows: list[dict], keys: list[np.ndarray], answer: np.ndarray, unique: np.ndarray | None, totals: np.ndarray | None, stats: list[float]) -> pa.Table:
-    """The answers to the rows, in their order, and as pack -1 the range's part of the table of all keys."""
+def told_table(part: int, rows: list[dict], keys: list[np.ndarray], answer: np.ndarray, stats: list[float] | None = None, unique: np.ndarray | None = None, totals: np.ndarray | None = None) -> pa.Table:
+    """The answers to the rows, in their order; and as pack -1 the range's statistics, and its part of the table of all keys."""
     ends = np.cumsum([0, *map(len, keys)])
-    out = [{"part": r["part"], "pack": r["pack"], "told": pack(answer[i:j]), "keys": None, "stats": None} for r, i, j in zip(rows, ends, ends[1:])]
-    if unique is not None:
-        out.append({"part": rows[0]["part"], "pack": -1, "told": pack(totals), "keys": pack_keys(unique), "stats": stats})
+    out = [{"part": part, "pack": r["pack"], "told": pack(answer[i:j]), "keys": None, "stats": None} for r, i, j in zip(rows, ends, ends[1:])]
+    if stats is not None:
+        out.append({"part": part, "pack": -1, "told": None if unique is None else pack(totals), "keys": None if unique is None else pack_keys(unique), "stats": stats})
     return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("told", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.float64()))]))
 
 
@@ -80,15 +83,36 @@ def answer_of(told: pa.Table, kind: int, dtype: type) -> np.ndarray:
     return np.concatenate([unpack(blob, dtype) for _, blob in rows]) if rows else np.zeros(0, dtype)
 
 
+#: Keys that one Python call looks up, on average; so the number of ranges follows the corpus.
+RANGE_KEYS = 3_000_000
+
+
 class Rounds:
-    """The packs of one corpus, and its rounds."""
+    """The packs of one corpus, and its rounds. A context manager: its tables go in the end, after errors too."""
 
     def __init__(self, spark: SparkSession, packed: DataFrame, tables: str | None = None) -> None:
-        """tables: a folder in which the tables of all keys stay."""
-        self.spark, self.parts, self.tables, self.paths = spark, 2 * scale(spark), tables, []
+        """packed has the columns pack and n_keys, the keys that it asks for in its largest round. tables: a folder in which
+        the tables of all keys stay."""
+        self.spark, self.tables, self.paths = spark, tables, [scratch(spark)]
         self.name = f"atlasq_packs_{uuid.uuid4().hex}"
-        packed.write.bucketBy(scale(spark), "pack").sortBy("pack").saveAsTable(self.name)
-        self.packs = spark.table(self.name)
+        try:
+            packed.write.option("path", self.paths[0]).bucketBy(scale(spark), "pack").sortBy("pack").saveAsTable(self.name)
+            self.packs = spark.table(self.name)
+            n_keys = self.packs.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+        except BaseException:
+            self.close()
+            raise
+        self.parts = max(2 * scale(spark), -(-n_keys // RANGE_KEYS))
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        forget(self.spark, *self.paths)
 
     def told(self, questions: DataFrame, answer: Callable[[pa.Table], pa.Table], title: str) -> DataFrame:
         path = f"{self.tables}/{title}" if self.tables else scratch(self.spark)
@@ -96,17 +120,10 @@ class Rounds:
             self.paths.append(path)
         return materialise(questions.groupBy("part").applyInArrow(answer, TOLD), path)
 
-    def with_answers(self, columns: list[str], told: list[DataFrame], body: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        """body(pack, answers) for each pack; the k-th of told answers as kind k, from 1 on."""
+    def with_answers(self, columns: list[str], told: dict[int, DataFrame], body: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """body(pack, answers) for each pack; the answers of a round have its number as kind."""
         all_told = None
-        for k, df in enumerate(told, 1):
+        for k, df in told.items():
             one = df.where("pack >= 0").select("pack", "part", "told", F.lit(k).alias("kind"))
             all_told = one if all_told is None else all_told.union(one)
         return self.packs.select("pack", *columns).groupBy("pack").cogroup(all_told.groupBy("pack")).applyInArrow(body, schema)
-
-    def finish(self, df: DataFrame) -> DataFrame:
-        """The rows of df, in a scratch table; the packs and the rounds' tables go."""
-        out = materialise(df)
-        self.spark.sql(f"DROP TABLE {self.name}")
-        forget(self.spark, *self.paths)
-        return out

@@ -6,6 +6,7 @@ that setting is absent (local tests) is a folder of the local machine used.
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -21,14 +22,26 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 
 
+_left: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared scratch folder."""
+    """A new path in the shared scratch folder. What nobody deletes before (results that are read lazily) goes when the
+    driver's Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="atlasq-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/atlasq-{uuid.uuid4().hex}"
+    _left.append((spark, f"{base.rstrip('/')}/atlasq-{uuid.uuid4().hex}"))
+    return _left[-1][1]
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _left:
+        if spark.sparkContext._jsc is not None:
+            forget(spark, path)
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -58,6 +71,7 @@ def besides(columns: list[str], added: Iterable[str]) -> list[str]:
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no later step reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _left[:] = [x for x in _left if x[1] not in paths]
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)

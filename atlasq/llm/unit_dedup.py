@@ -2,24 +2,24 @@
 
 Units are lines, cut further behind words that end in ``.``, ``!`` or ``?`` and before a capitalised word that follows an
 uncapitalised one, so that a passage pasted into the middle of a line is made of units of its own. A unit is normalised to
-its words, ASCII letters lowered, joined by single spaces, and hashed. The occurrence of the lowest rank (document rank,
-then offset) stays; all others are repeats. What goes are runs of repeats with at least RUN words in units of SEED words or
-more; shorter units between them go along, and one that is no repeat may be bridged. So everyday short lines stay.
-
-With ``passages``, as the registered query has it, more pieces than units are hashed, and what goes is no longer bound to long
-units: short units count towards RUN, too, where they stand in a run of whole units with RUN words (the shortest from each
-unit on) that is itself a repeat. A text of short units that are all known, but not in this order, stays. Passages that begin
-or end inside a unit are found by cuts that depend on the words alone: before one in CUT pairs of neighbouring words, chosen by
-their hash. Runs of pieces between cuts with RUN words (again the shortest from each cut on) go where they are repeats. What
-may stay of such a passage are the words before its first cut and behind its last, CUT each on average. A whole line of SEED
-words or more that is a repeat goes in any case; RUN holds for parts of lines and for lines of fewer words. A bridged unit joins
-a run, but stays itself.
-
-Digests are grouped over the whole corpus by the rounds of ``packs``: a pack asks once for each of its distinct digests, with
-the lowest rank it has, so a line in every document is no hot key.
+its words, ASCII letters lowered, joined by single spaces, and hashed. Digests are grouped over the whole corpus; the
+occurrence of the lowest rank (document rank, then offset) stays, and every later one of ``least`` words or more goes (1 by
+default: all).
+
+With ``passages`` more pieces than units are hashed. Shorter units go as well where they stand in a run of whole units with RUN
+words (the shortest from each unit on), or in a whole line of ``least`` words, that is itself a repeat; a text of short units
+that are all known, but not in this order, stays. Passages that begin or end inside a unit are found by cuts that depend on the
+words alone: before one in CUT pairs of neighbouring words, chosen by their hash. Runs of pieces between cuts with RUN words
+(again the shortest from each cut on) go where they are repeats. What may stay of such a passage are the words before its
+first cut and behind its last, CUT each on average. The registered query has ``passages`` and SEED as ``least``, so that
+everyday lines of up to three words stay.
+
+Digests are grouped by the rounds of ``packs``: a pack asks once for each of its distinct digests, with the lowest rank it
+has, so a line in every document is no hot key.
 
 Defined results: null and wordless texts have no units and lose nothing; ranks that are null come last; of equal ranks
-(repeated rows) one stays; offsets are code points of the original text, end exclusive; an empty table gives an empty table.
+(repeated rows) one stays; ids of any type that sorts are ranked by their own order; offsets are code points of the original
+text, end exclusive; a unit that is no repeat never goes as a whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,21 +31,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, told_table, unpack
-from .shared import SPACED, Words, places, slices, splitmix
+from .shared import SPACED, Words, materialise, places, slices, splitmix
 
-#: Words in a unit that can begin a run, words in a run, and bytes of text in a pack.
+#: Words in a unit that goes by itself in the query, words in a run, and bytes of text in a pack.
 SEED, RUN, PACK_BYTES = 4, 12, 8_000_000
 
-_PACKED = "pack bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary, n_more binary, more_digests binary, more_starts binary, more_ends binary, more_kinds binary"
+_PACKED = "pack bigint, n_keys bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary, n_more binary, more_digests binary, more_starts binary, more_ends binary, more_kinds binary"
 _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<start:int,end:int>>, text string"
 #: One in so many pairs of words is a cut.
 CUT = 8
 #: Kinds of pieces besides units.
 OF_UNITS, OF_CUTS, OF_LINES = 1, 2, 3
-#: Added to the number of words of a unit that is a whole line.
-_WHOLE = 1 << 31
 #: Base of the polynomial that hashes runs of words.
 _BASE = 0x9E3779B97F4A7C13
 
@@ -102,8 +101,6 @@ class Units:
         self.end = points[words.end[at + size - 1]] - base
         line = lines[words.start[at]]
         new_line = np.append(True, (self.doc[1:] != self.doc[:-1]) | (line[1:] != line[:-1]))
-        if passages:
-            self.words = size + _WHOLE * (new_line & np.append(new_line[1:], True))
         pieces = self._pieces(words, at, size, new_line) if passages else []
         begin, end, digest, kind = (np.concatenate(x) for x in zip(*pieces)) if pieces else (at[:0], at[:0], self.digest[:0], at[:0])
         order = np.argsort(words.doc[begin], kind="stable")
@@ -140,7 +137,7 @@ class Units:
         return np.bincount(self.doc, minlength=self.n_texts)
 
 
-def _packs(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch], passages: bool, pack_bytes: int) -> Iterator[pa.RecordBatch]:
     """(id, rank, text) as packed rows."""
     number, held, size = (TaskContext.get().partitionId() << 32) - 1, [], 0
 
@@ -154,13 +151,13 @@ def _packs(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.Rec
         blobs += [np.concatenate([np.bincount(u.more[0], minlength=u.n_texts) for u in units]).astype(np.uint32), more[0], *(x.astype(np.uint32) for x in more[1:3]), more[3].astype(np.uint8)]
         ends = pa.array([0, len(ids)], pa.int32())
         held.clear()
-        return batch_of(_PACKED, [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in (ids, ranks, texts)), *(pa.array([pack(b)], pa.binary()) for b in blobs)])
+        return batch_of(_PACKED, [pa.array([number], pa.int64()), pa.array([len(blobs[1]) + len(more[0])], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in (ids, ranks, texts)), *(pa.array([pack(b)], pa.binary()) for b in blobs)])
 
     for batch in batches:
         for i, texts in slices(batch.column(2)):
             held.append((batch.column(0).slice(i, len(texts)), batch.column(1).slice(i, len(texts)), texts, Units(texts, passages)))
             size += texts.nbytes
-            if size >= PACK_BYTES:
+            if size >= pack_bytes:
                 yield made()
                 size = 0
     if held:
@@ -194,27 +191,7 @@ def _owned(table: pa.Table) -> pa.Table:
     several = (np.bincount(at, minlength=len(unique)) > 1) | (np.bincount(at, (more & np.uint64(1)).astype(np.float64), len(unique)) > 0)
     answer = several[at].astype(np.uint8)
     answer[first] += 2
-    return told_table(rows, keys, answer, None, None, [])
-
-
-def runs(repeat: list[bool], words: list[int], start: list[int], end: list[int], sure: list[bool] | None = None) -> list[tuple[int, int, int]]:
-    """What goes from one text: start, end and number of units of each run. sure: short units that count, too."""
-    out, k, n = [], 0, len(repeat)
-    while k < n:
-        if not repeat[k]:
-            k += 1
-            continue
-        first = last = k
-        seeds, k = 0, k - 1
-        while k + 1 < n and (repeat[k + 1] or (words[k + 1] < SEED and k + 2 < n and repeat[k + 2])):
-            k += 1
-            if repeat[k]:
-                last = k
-                seeds += words[k] * (words[k] >= SEED or bool(sure and sure[k]))
-        k = last + 1
-        if seeds >= RUN:
-            out.append((start[first], end[last], last - first + 1))
-    return out
+    return told_table(table.column("part")[0].as_py(), rows, keys, answer)
 
 
 def joined(gone: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -254,12 +231,11 @@ def _covered(units: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.
     return np.cumsum(steps)[:n] > 0
 
 
-def _kept(own: pa.Table, told: pa.Table, schema: str, passages: bool) -> pa.Table:
+def _kept(own: pa.Table, told: pa.Table, schema: str, least: int) -> pa.Table:
     out = []
     for row in own.to_pylist():
         n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
         digest, start, end, words = unpack(row["digests"], np.uint64), *(unpack(row[k], np.uint32) for k in ("starts", "ends", "words"))
-        whole, words = words >= _WHOLE, words & np.uint32(_WHOLE - 1)
         n_more, kinds = unpack(row["n_more"], np.uint32).astype(np.int64), unpack(row["more_kinds"], np.uint8)
         all_digests, all_starts, all_ends = (np.concatenate([x, unpack(row[f"more_{k}"], x.dtype.type)]) for k, x in (("digests", digest), ("starts", start), ("ends", end)))
         number = np.concatenate([np.repeat(np.arange(len(n_units)), n) for n in (n_units, n_more)])
@@ -273,21 +249,18 @@ def _kept(own: pa.Table, told: pa.Table, schema: str, passages: bool) -> pa.Tabl
         repeat, again = repeated[: len(digest)], repeated[len(digest) :]
         place = (number << 32) + all_starts, (number << 32) + all_ends
         units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
-        sure = _covered(units, *(x[again & (kinds == OF_UNITS)] for x in more))
-        whole = repeat & ((whole & (words >= SEED)) | _covered(units, *(x[again & (kinds == OF_LINES)] for x in more)))
-        some_whole = np.append(0, np.cumsum(whole))
+        inside = _covered(units, *(x[again & (kinds != OF_CUTS)] for x in more))
+        gone = repeat & (inside | (words >= least))
         some_cuts = again & (kinds == OF_CUTS)
         cut_spans = list(zip(all_starts[len(digest) :][some_cuts].tolist(), all_ends[len(digest) :][some_cuts].tolist()))
         more_bounds = np.searchsorted(number[len(digest) :][some_cuts], np.arange(len(n_units) + 1)).tolist()
         removed, texts, counts = [], [], []
         bounds = np.append(0, np.cumsum(n_units)).tolist()
-        some = np.append(0, np.cumsum(repeat & (sure | (words >= SEED))))
+        some = np.append(0, np.cumsum(gone))
         for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
-            spans = runs(*(x[a:b].tolist() for x in (repeat, words, start, end, sure))) if some[b] > some[a] else []
-            others = cut_spans[i:j]
-            if passages and (spans or others or some_whole[b] > some_whole[a]):
-                in_run = _covered([start[a:b], end[a:b]], *np.array([x[:2] for x in spans], np.int64).reshape(-1, 2).T)
-                spans = merged(others + joined(whole[a:b] | (in_run & repeat[a:b]), start[a:b], end[a:b]), start[a:b], end[a:b])
+            spans = []
+            if some[b] > some[a] or j > i:
+                spans = merged(cut_spans[i:j] + joined(gone[a:b], start[a:b], end[a:b]), start[a:b], end[a:b])
             removed.append([{"start": s, "end": e} for s, e, _ in spans])
             counts.append(sum(n for *_, n in spans))
             texts.append(without(text, spans))
@@ -296,19 +269,30 @@ def _kept(own: pa.Table, told: pa.Table, schema: str, passages: bool) -> pa.Tabl
     return pa.concat_tables(out)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: Column | None = None, passages: bool = False) -> DataFrame:
+def _ranked(docs: DataFrame, id_col: str, rank: Column) -> DataFrame:
+    """docs with the column _rank: integers as they are, else the place of the value among all, by a sorted table."""
+    spark, kind = docs.sparkSession, docs.select(rank.alias("r")).schema["r"].dataType
+    if isinstance(kind, T.IntegralType):
+        return docs.withColumn("_rank", F.coalesce(rank.cast("bigint"), F.lit(2**63 - 1)))
+    order = materialise(docs.select(rank.alias("_value")).distinct().where("_value IS NOT NULL").orderBy("_value").withColumn("_place", F.monotonically_increasing_id()))
+    return docs.withColumn("_value", rank).join(order, "_value", "left").withColumn("_rank", F.coalesce("_place", F.lit(2**63 - 1)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: Column | None = None, passages: bool = False, least: int = 1, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(id, n_units, n_removed, removed, text): what goes from each document as spans of its original text, and what stays.
-    rank: which occurrence is the earliest, by default the id. passages: hash more pieces than units."""
+    rank: which occurrence is the earliest, by default the id. passages: hash more pieces than units. least: words in a unit
+    that goes by itself."""
     kind = docs.schema[id_col].dataType.simpleString()
-    order = F.coalesce((F.col(id_col) if rank is None else rank).cast("bigint"), F.lit(2**63 - 1))
-    rounds = Rounds(docs.sparkSession, docs.select(F.col(id_col).alias("id"), order.alias("rank"), F.col(text_col).alias("text")).mapInArrow(lambda batches: _packs(batches, passages), _PACKED.format(kind=kind)))
-    parts, schema = rounds.parts, "id x, n_units x, n_removed x, removed x, text x"
-    questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts", "n_more", "more_digests", "more_starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
-    told = rounds.told(questions, _owned, "units")
-    return rounds.finish(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], [told], lambda own, answers: _kept(own, answers, schema, passages), _RESULT.format(kind=kind)))
+    rows = _ranked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(id_col) if rank is None else rank).alias("r")), "id", F.col("r"))
+    schema = "id x, n_units x, n_removed x, removed x, text x"
+    with Rounds(docs.sparkSession, rows.select("id", F.col("_rank").alias("rank"), "text").mapInArrow(lambda batches: _packs(batches, passages, pack_bytes), _PACKED.format(kind=kind))) as rounds:
+        parts = rounds.parts
+        questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts", "n_more", "more_digests", "more_starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
+        told = rounds.told(questions, _owned, "units")
+        return materialise(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], {1: told}, lambda own, answers: _kept(own, answers, schema, least), _RESULT.format(kind=kind)))
 
 
-def op7_unit_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
+def op7_unit_dedup(docs: DataFrame, passages: bool = True, least: int = SEED) -> DataFrame:
     """The result of query op7 over documents: removed spans as start:end, comma-joined, and the text that stays."""
     spans = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit(":"), r["end"].cast("string"))), ",")
-    return deduplicated(docs, passages=passages).select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"), "text")
+    return deduplicated(docs, passages=passages, least=least).select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"), "text")

@@ -4,6 +4,9 @@ In each round every node turns into the one of lowest random rank among itself a
 and repeats go, and the maps of the rounds are composed in the end. The ranks are new in each round, so long chains shrink
 by a constant share too. All joins are equi joins that AQE can split where one node has very many edges; every round
 ends in a table in the shared scratch folder.
+
+Defined results: edges with a null end are left out; repeated edges and loops count once, and a loop alone makes its node a
+component; a component is named by one of its nodes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 from .shared import forget, materialise, scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) of any one comparable type, nulls left out. Returns (node, label), one row for each node of an edge."""
+def components(edges: DataFrame, results: list[str] | None = None) -> DataFrame:
+    """edges(a, b) of any one comparable type, nulls left out. Returns (node, label, levels), one row for each node of an edge;
+    levels are the nodes that it turned into by round: those with the same one hang together, in ever larger parts of the
+    component. results: gets the path of the result's table, for a caller that deletes it."""
     spark, paths, maps = edges.sparkSession, [], []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -35,11 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = kept(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
         turn += 1
     if not maps:
-        out = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+        out = edges.select(F.col("a").alias("node"), F.col("a").alias("label"), F.array("a").alias("levels")).distinct()
     else:
-        out = maps[0].select("node", F.col("to").alias("label"))
+        out = maps[0].select("node", F.col("to").alias("label"), F.array("to").alias("levels"))
         for later in maps[1:]:
-            out = out.join(later.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    out = materialise(out)
+            out = out.join(later.select(F.col("node").alias("label"), "to"), "label", "left").withColumn("label", F.coalesce("to", "label"))
+            out = out.select("node", "label", F.array_append("levels", F.col("label")).alias("levels"))
+    place = scratch(spark)
+    if results is not None:
+        results.append(place)
+    out = materialise(out, place)
     forget(spark, *paths)
     return out

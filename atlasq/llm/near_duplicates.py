@@ -3,9 +3,11 @@
 1. Every text becomes its set of 64-bit shingle hashes; texts of equal sets are one node (exact copies end here).
 2. MinHash bands propose: nodes that share a band's bucket are tied to the bucket's lowest node, and the components of
    these ties bound where similar pairs can be.
-3. A component is dealt into blocks; each task gets two blocks. There the pairs that share a bucket compare their
-   MinHash values a few at a time and are dropped as soon as the posterior probability (uniform prior) of reaching
-   the threshold falls below the tolerance; what is left is verified exactly on the shingle sets.
+3. A component is dealt into blocks of nodes that hang together: the parts that the search for components found in its
+   rounds, as far as they have at most BLOCK nodes; the parts of the first larger one are dealt to blocks by hash. A task
+   gets two blocks, but only those that some bucket has nodes of both. There the pairs that share a bucket compare their MinHash values a few at a time
+   and are dropped as soon as the posterior probability (uniform prior) of reaching the threshold falls below the
+   tolerance; what is left is verified exactly on the shingle sets.
 4. A task returns, for each node, how many documents it links to and a spanning root, never pairs; the components of
    those are the classes.
 
@@ -107,24 +109,24 @@ def _keys(values: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
 
 
 def keyed(docs: DataFrame, with_bands: bool) -> DataFrame:
-    """docs(id, text) as (id, key, bands): key is the digest of the shingle set."""
+    """docs(id, text) as (id, key, text_hash, bands): key is the digest of the shingle set."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in slices(batch.column(1)):
                 values, starts = shingle_sets(texts)
-                columns = [batch.column(0).slice(i, len(texts)), pa.array(_keys(values, starts), pa.binary())]
+                columns = [batch.column(0).slice(i, len(texts)), pa.array(_keys(values, starts), pa.binary()), batch.column(2).slice(i, len(texts))]
                 if with_bands:
                     bands = band_keys(signatures(values, starts)).astype(np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel())))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "bands"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "text_hash", "bands"][: len(columns)])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(step, f"id {kind}, key binary" + ", bands array<bigint>" * with_bands)
+    return docs.select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(step, f"id {kind}, key binary, text_hash bigint" + ", bands array<bigint>" * with_bands)
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, key, component, blocks, copies): the sets and MinHash values of those whose text has that key."""
+    """(text, key, block, copies): the sets and MinHash values of those whose text has that key."""
     for batch in batches:
         for i, texts in slices(batch.column(0)):
             part = batch.slice(i, len(texts))
@@ -133,7 +135,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature = signatures(values, starts)
             sets = pa.array([values[starts[k] : starts[k + 1]].tobytes() for k in right], pa.binary())
             own = part.take(pa.array(right, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns[1:], sets, pa.array([signature[k].tobytes() for k in right], pa.binary())], names=["key", "component", "blocks", "copies", "shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([*own.columns[1:], sets, pa.array([signature[k].tobytes() for k in right], pa.binary())], names=["key", "block", "copies", "shingles", "signature"])
 
 
 def _verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,8 +183,8 @@ def candidate_pairs(signature: np.ndarray, own: np.ndarray) -> tuple[np.ndarray,
 def _linked(table: pa.Table) -> pa.Table:
     """One pair of blocks: (key, root, links) for the nodes that have links here."""
     keys = np.array(table.column("key").to_pylist(), dtype=object)
-    _, first = np.unique(keys, return_index=True)  # repeated rows of one document are one node
-    table, keys = table.take(pa.array(first)), keys[first]
+    order = np.argsort(keys)
+    table, keys = table.take(pa.array(order)), keys[order]
     own = np.ones(len(keys), bool) if table.column("low")[0].as_py() == table.column("high")[0].as_py() else (table.column("block").to_numpy() == table.column("low").to_numpy())
     signature = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("signature")])
     a, b = candidate_pairs(signature, own)
@@ -206,6 +208,25 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys[has].tolist(), pa.binary()), "root": pa.array(keys[root[has]].tolist(), pa.binary()), "links": pa.array(links[has].astype(np.int64))})
 
 
+def blocks(near: DataFrame) -> DataFrame:
+    """(key, block) of nodes with their components and the levels below: at most about BLOCK nodes in a block."""
+    each = near.select("node", F.posexplode("levels").alias("pos", "part"))
+    large = each.groupBy("pos", "part").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    first = each.join(large, ["pos", "part"]).groupBy("node").agg(F.min(F.struct("pos", "part", "n")).alias("p"))
+    inner = F.when(F.col("p.pos") > 0, F.get("levels", F.col("p.pos") - 1)).otherwise(F.col("node"))
+    dealt = F.xxhash64("p.part", "p.pos", F.pmod(F.xxhash64(inner), F.ceil(F.col("p.n") / F.lit(BLOCK))))
+    return near.join(first, "node", "left").select(F.col("node").alias("key"), F.when(F.col("p").isNull(), F.xxhash64("label")).otherwise(dealt).alias("block"))
+
+
+def block_pairs(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """(low, high), once each: blocks that have nodes of one bucket, and each block with itself. What a bucket gives are the
+    pairs of its blocks, not of its nodes."""
+    of = shared.select("key", "bucket").join(placed, "key").select("bucket", "block").distinct()
+    several = of.groupBy("bucket").agg(F.sort_array(F.collect_list("block")).alias("blocks")).where(F.size("blocks") > 1).select("blocks").distinct()
+    each = several.withColumn("low", F.explode("blocks")).withColumn("high", F.explode(F.filter("blocks", lambda b: b > F.col("low"))))
+    return each.select("low", "high").union(placed.select(F.col("block").alias("low"), F.col("block").alias("high"))).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, class_id, n_links), one row for each document: its class's lowest id, and to how many documents it links."""
     spark, paths = docs.sparkSession, []
@@ -216,20 +237,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     all_docs = kept(keyed(docs, with_bands=True))
-    nodes = kept(all_docs.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    one = F.min(F.struct("id", "text_hash"))
+    nodes = kept(all_docs.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), one.alias("one")))
     banded = nodes.select("key", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    near = components(banded.join(buckets, "bucket").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    wanted = near.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("component"), "blocks").join(nodes.select("key", "id", "copies"), "key")
-    wanted = kept(wanted)
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["id"].eqNullSafe(wanted["id"])).select("text", "key", "component", "blocks", "copies")
-    sets = texts.mapInArrow(_with_sets, "key binary, component binary, blocks int, copies bigint, shingles binary, signature binary")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
-    linked = kept(dealt.groupBy("component", "low", "high").applyInArrow(_linked, "key binary, root binary, links bigint"))
-    label = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    shared = kept(banded.join(buckets, "bucket"))
+    near = components(shared.select(F.col("key").alias("a"), F.col("hub").alias("b")), paths)
+    placed = kept(blocks(near))
+    twice = kept(block_pairs(shared, placed))
+    wanted = kept(placed.select("key", "block").join(nodes.select("key", "one", "copies"), "key"))
+    found = (docs["id"].eqNullSafe(wanted["one"]["id"])) & (F.xxhash64(docs["text"]) == wanted["one"]["text_hash"])
+    texts = docs.join(wanted.hint("shuffle_hash"), found).select("text", "key", "block", "copies").dropDuplicates(["key"])
+    sets = texts.mapInArrow(_with_sets, "key binary, block bigint, copies bigint, shingles binary, signature binary")
+    dealt = sets.join(twice.select(F.col("low").alias("block"), "low", "high").union(twice.where("low <> high").select("high", "low", "high")), "block")
+    linked = kept(dealt.groupBy("low", "high").applyInArrow(_linked, "key binary, root binary, links bigint"))
+    label = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")), paths)
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     of = nodes.select("key", "id", "copies").join(label.select(F.col("node").alias("key"), "label"), "key", "left").join(counts, "key", "left")
     of = kept(of.select("key", "id", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

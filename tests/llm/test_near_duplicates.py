@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atlasq.llm import near_duplicates
 from tests.conftest import DATA
@@ -87,3 +88,30 @@ def test_one_of_each_class_stays(spark, odd):
     texts = [r["text"] for r in kept.collect()]
     assert texts.count("A short one.") == 1 and texts.count("Another text of the same id.") == 1 and None in texts and "" in texts
     assert near_duplicates.one_of_each(odd.where("false")).count() == 0
+
+
+def test_one_large_chain_is_dealt_without_all_pairs_of_blocks(spark):
+    """5,000 texts, each like its neighbours and unlike those far away."""
+    n, size = 5000, 120
+    rows = [(i, " ".join(f"w{3 * i + k}" for k in range(size))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    keyed = near_duplicates.keyed(docs, with_bands=True).cache()
+    banded = keyed.selectExpr("key", "explode(bands) AS bucket")
+    buckets = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    shared = banded.join(buckets, "bucket").cache()
+    near = near_duplicates.components(shared.selectExpr("key AS a", "hub AS b"))
+    assert near.select("label").distinct().count() == 1
+    placed = near_duplicates.blocks(near).cache()
+    n_blocks, pairs = placed.select("block").distinct().count(), near_duplicates.block_pairs(shared, placed)
+    largest = placed.groupBy("block").count().agg(F.max("count")).first()[0]
+    assert placed.count() == n and n // 128 <= n_blocks and largest < 400
+    assert pairs.count() == pairs.distinct().count() <= 6 * n_blocks  # not the square
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.op3_near_duplicates(docs.withColumnRenamed("id", "doc_id")).collect()}
+    assert got == {i: (0, sum(0 <= j < n for d in range(1, 5) for j in (i - d, i + d))) for i in range(n)}
+
+
+def test_many_rows_without_or_with_one_id(spark):
+    texts = [" ".join(f"w{k * 7 + j}" for j in range(40)) for k in range(30)]
+    rows = [(None, t) for t in texts for _ in range(3)] + [(1, t) for t in texts]
+    out = near_duplicates.op3_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(out) == 120 and all(r["n_links"] == 3 for r in out)

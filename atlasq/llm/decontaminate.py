@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .shared import ALNUM, Words, besides, materialise, own_names, plain_names, slices, splitmix
 
-#: Characters of test text that are broadcast at once.
+#: Bytes of test text that are broadcast at once; with its windows a block needs about seven times as much memory.
 BLOCK_CHARS = 16_000_000
 #: Words in a window, and one in how many words must be hit.
 WINDOW, SHARE = 13, 20
@@ -46,39 +46,50 @@ def _plain(words: Words, first: int, size: int) -> bytes:
 
 
 class WindowSet:
-    """Windows of the test items, by size."""
+    """Windows of the test items, by size: sorted hashes, each with its first word and its item. The words are offsets into
+    one copy of the items' text, so a window costs 20 bytes and a character one; the items' ids stand once."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, set[str]]]]] = {}
-        grams: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for item, text in items:
-            words = Words(pa.array([text]), ALNUM)
-            if n := len(words.start):
-                size = min(n, window)
-                for i, h in enumerate(_windows(words.hash, size).tolist()):
-                    grams.setdefault(size, {}).setdefault(h, {}).setdefault(_plain(words, i, size), set()).add(item)
-        for size, found in grams.items():
+        items = sorted(items)
+        self.ids = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.ids)}
+        words = Words(pa.array([text for _, text in items], pa.large_string()), ALNUM)
+        own = np.array([number[item] for item, _ in items], np.int32)
+        self.text, self.start, self.end = words.data.copy(), words.start.astype(np.int32), words.end.astype(np.int32)
+        bounds = words.bounds()
+        counts = np.diff(bounds)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(n, window) for n in counts.tolist() if n}):
+            hashes = _windows(words.hash, size)
+            whole = words.doc[: len(hashes)] == words.doc[size - 1 :]
+            at = np.flatnonzero(whole & ((counts[words.doc[: len(hashes)]] == size) if size < window else True))
+            key, of = hashes[at], own[words.doc[at]]
+            order = np.argsort(key)
             maybe = np.zeros(1 << 22, bool)
-            keys = np.array(sorted(found), np.uint64)
-            maybe[(keys & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
-            self.by_size[size] = keys, maybe, found
+            maybe[(key & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+            self.by_size[size] = key[order], maybe, at[order].astype(np.int32), of[order]
+
+    def _plain(self, first: int, size: int) -> bytes:
+        return b" ".join(self.text[self.start[i] : self.end[i]].tobytes() for i in range(first, first + size)).lower()
 
     def scan(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """By text: the merged ranges of hit words, and the items that have an occurring window."""
-        raw: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-        for size, (keys, maybe, found) in self.by_size.items():
+        raw: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+        for size, (keys, maybe, first, of) in self.by_size.items():
             hashes = _windows(words.hash, size)
             at = np.flatnonzero(maybe[(hashes & np.uint64(len(maybe) - 1)).astype(np.int64)])
             at = at[words.doc[at] == words.doc[at + size - 1]]
-            if len(at):
-                place = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-                at = at[keys[place] == hashes[at]]
-            for i in at.tolist():
-                if items := found[int(hashes[i])].get(_plain(words, i, size)):
-                    ranges, of = raw.setdefault(int(words.doc[i]), ([], set()))
+            low, high = np.searchsorted(keys, hashes[at]), np.searchsorted(keys, hashes[at], side="right")
+            known: dict[bytes, set[int]] = {}
+            for i, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                text = _plain(words, i, size)
+                if text not in known:
+                    known[text] = {int(of[k]) for k in range(a, b) if self._plain(int(first[k]), size) == text}
+                if known[text]:
+                    ranges, found = raw.setdefault(int(words.doc[i]), ([], set()))
                     ranges.append((i, i + size))
-                    of |= items
-        return {doc: (_merged(ranges), of) for doc, (ranges, of) in raw.items()}
+                    found |= known[text]
+        return {doc: (_merged(ranges), {self.ids[k] for k in found}) for doc, (ranges, found) in raw.items()}
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,7 +132,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                         if ranges:
                             text = texts[doc].as_py().encode()
                             skip = int(words.start[base]) - _first_word(text)
-                            points = lambda x, text=text: len(text[:x].decode())
+                            before = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+                            points = lambda x, before=before: int(before[x])
                             ranges = [{"first": a, "last": b, "start": points(int(words.start[base + a]) - skip), "end": points(int(words.end[base + b - 1]) - skip)} for a, b in ranges]
                         hits.append(ranges)
                         of.append(sorted(ids))

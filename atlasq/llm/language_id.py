@@ -242,10 +242,13 @@ def predict(docs: DataFrame, vocab_path: str, languages: list[str], log: np.ndar
 
 
 def sample_of(docs: DataFrame, train: Column, key: Column, lang_col: str = "lang", text_col: str = "text", size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``size`` whole training texts of each language, those whose key has the lowest hash."""
+    """At most ``size`` whole training texts of each language, those of the lowest hash; of equal texts of one key one counts.
+    Only hashes are ranked, at most ``size`` a language from each task; a second scan fetches the texts they name."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key.cast("string"), F.col(text_col)).alias("h"))
-    lowest = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= size)
-    return [(r["lang"], r["text"]) for r in lowest.orderBy("lang", "h").select("lang", "text").collect()]
+    ranked = rows.select("lang", "h").withColumn("n", F.dense_rank().over(W.partitionBy("lang").orderBy("h")))
+    lowest = ranked.where(F.col("n") <= size).select("lang", "h").distinct()
+    found = rows.join(F.broadcast(lowest), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # ``size`` hashes a language are broadcast
+    return [(r["lang"], r["text"]) for r in found.orderBy("lang", "h").select("lang", "text").collect()]
 
 
 def op6_language_id(docs: DataFrame, vocab_path: str) -> DataFrame:

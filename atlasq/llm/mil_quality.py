@@ -76,12 +76,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, one, times = np.unique(pairs, return_index=True, return_counts=True)
     distinct = np.bincount(passage[one], minlength=len(out))
     out[rows, m + 6] = distinct[rows] / count
-    triple = np.zeros(len(length), np.uint64)
-    if len(length) > 2:
-        triple[:-2] = splitmix(words.hash[:-2] + splitmix(words.hash[1:-1] + splitmix(words.hash[2:] + words.doc[2:].astype(np.uint64))))
-        inside = np.append(words.doc[2:] == words.doc[:-2], [False, False])
-        _, at, times = np.unique(triple, return_inverse=True, return_counts=True)
-        out[rows, m + 7] = total((times[at] > 1) & inside) / count
+    begin = np.flatnonzero(words.doc[2:] == words.doc[:-2])  # triples within one text; neighbours in the slice count for nothing
+    triple = splitmix(words.hash[begin] + splitmix(words.hash[begin + 1] + splitmix(words.hash[begin + 2] + words.doc[begin].astype(np.uint64))))
+    _, at, times = np.unique(triple, return_inverse=True, return_counts=True)
+    again = np.zeros(len(length))
+    again[begin] = times[at] > 1
+    out[rows, m + 7] = total(again) / count
     breaks = np.append(0, np.cumsum(words.data == 10))
     out[rows, m + 8] = (breaks[words.end[np.append(first[1:], len(length)) - 1]] - breaks[words.start[first]]) / count
     slot = (words.hash % np.uint64(HASHED)).astype(np.int64)

@@ -53,3 +53,12 @@ def test_odd_and_empty_tables(spark, odd):
     assert mil_quality.op9_quality_classifier(odd.where("false"), labels).count() == 0
     bags = mil_quality.scored(odd, mil_quality.Model(0.4))
     assert {r["lang"] for r in bags.collect()} == {"own"} and all(sum(r["attention"]) >= 1 for r in bags.collect())
+
+
+def test_features_do_not_depend_on_neighbours():
+    import pyarrow as pa
+
+    texts = ["a a a b c d", "a a a", "x", "", "a a a b c d " * 30]
+    alone = [mil_quality.features(pa.array([t]))[0] for t in texts]
+    together, begins = mil_quality.features(pa.array(texts))
+    assert all(np.array_equal(x, together[a:b]) for x, a, b in zip(alone, begins, begins[1:]))

@@ -33,12 +33,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, pack_keys, told_table, unpack, unpack_keys
 from .shared import SPACED, Words, crc_bucket, materialise, slices, splitmix
 
 #: Words in the longest n-grams, tokens that are packed together, and the largest count that is discounted.
-ORDER, PACK, LARGE = 3, 1_200_000, 5
+ORDER, PACK, LARGE = 3, 1_600_000, 5
 #: Stand-ins for the hashes of the begin and the end of a text.
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
@@ -125,13 +127,13 @@ class Packed:
 class Known:
     """What the rounds so far told of a packed row's n-grams: totals and marks by order."""
 
-    def __init__(self, packed: Packed, told: pa.Table, order: int, prune: bool) -> None:
-        self.packed, self.totals, self.marks = packed, [], []
+    def __init__(self, packed: Packed, row: dict, order: int, prune: bool) -> None:
+        self.packed, self.prune, self.totals, self.marks = packed, prune, [], []
         for k in range(1, order + 1):
             own = packed.levels[k - 1]
             open_ = self.open(k, prune)
             answer = (own.counts.astype(np.uint64) << np.uint64(_BITS)) + np.uint64(_WANTED) * own.held.astype(np.uint64) + (own.counts > 0).astype(np.uint64)
-            answer[open_[np.argsort(own.keys[open_])]] = answer_of(told, k, np.uint64)
+            answer[open_[np.argsort(own.keys[open_])]] = answer_of(row, k, np.uint64)
             self.totals.append((answer >> np.uint64(_BITS)).astype(np.float64))
             self.marks.append((answer & np.uint64((1 << _BITS) - 1)).astype(np.uint8))
 
@@ -149,10 +151,19 @@ class Known:
         out[self.packed.levels[k - 1].start] = self.totals[0][self.packed.end]
         return out
 
-    def asking(self, k: int) -> np.ndarray:
-        """Histories of order k whose weight has to be asked for."""
-        followed, marks = self.followed(k), self.marks[k - 1]
-        return np.flatnonzero(((marks & _SHARED) > 0) & (followed > 0) & (((marks & _WANTED) > 0) | (followed > LARGE)))
+    def asking(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Histories of order k that other rows have and whose weight some row can need, as far as this row needs it or knows
+        n-grams of them that it owns; and which of them it needs: those that its texts not learned from have, and those all of
+        whose n-grams here have large counts."""
+        followed, marks, above = self.followed(k), self.marks[k - 1], self.packed.levels[k]
+        n, seen = len(marks), self.totals[k] > 0
+        owned = np.bincount(above.hist[(self.marks[k] & _OWNED) > 0], minlength=n) > 0
+        small = np.bincount(above.hist[seen & (self.totals[k] <= LARGE)], minlength=n) > 0
+        needed = self.packed.levels[k - 1].held | ((followed > LARGE) & ~small)
+        if not self.prune:
+            return np.flatnonzero(followed > 0), np.ones(int((followed > 0).sum()), bool)
+        at = np.flatnonzero(((marks & _SHARED) > 0) & (followed > 0) & (((marks & _WANTED) > 0) | (followed > LARGE)) & (owned | needed))
+        return at, needed[at]
 
 
 def _stats(totals: np.ndarray) -> np.ndarray:
@@ -181,11 +192,13 @@ def _counted(table: pa.Table, whole: bool) -> pa.Table:
 
 
 def _weighed(table: pa.Table, whole: bool) -> pa.Table:
-    """Freed counts (a) and lower-order probability (b) of what was seen after each history, as its weight."""
+    """Freed counts (a; where the answer isn't needed, one more and negative) and lower-order probability (b) of what was seen
+    after each history, as its weight; 0 where it isn't needed."""
     rows, keys, unique, at = gathered(table)
-    a, b = (np.bincount(at, np.concatenate([unpack(r[c], np.float64) for r in rows]), len(unique)) for c in ("a", "b"))
-    weight = _weight(a, b)
-    return told_table(table.column("part")[0].as_py(), rows, keys, weight[at], [], unique if whole else None, weight)
+    freed, seen = (np.concatenate([unpack(r[c], np.float64) for r in rows]) for c in ("a", "b"))
+    needed = freed >= 0
+    weight = _weight(np.bincount(at, np.where(needed, freed, -1 - freed), len(unique)), np.bincount(at, seen, len(unique)))
+    return told_table(table.column("part")[0].as_py(), rows, keys, np.where(needed, weight[at], 0.0), [], unique if whole else None, weight)
 
 
 def _weight(freed: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -240,10 +253,11 @@ class Model:
         """Takes the weights told for the histories of order k - 1 that were asked for; others are this row's alone, or have
         small counts and no use."""
         own, totals = self.known.packed.levels[k - 1], self.known.totals[k - 1]
-        asked_for = self.known.asking(k - 1)
+        asked_for, needed = self.known.asking(k - 1)
         weight = _weight(*self.sums(k))
         weight[((self.known.marks[k - 2] & _SHARED) > 0)] = 1.0
-        weight[asked_for[np.argsort(self.known.packed.levels[k - 2].keys[asked_for])]] = told
+        order = np.argsort(self.known.packed.levels[k - 2].keys[asked_for])
+        weight[asked_for[order][needed[order]]] = told[needed[order]]
         over = np.maximum(self.known.followed(k - 1) + (weight < 0), 1)
         self.weights.append(np.where(self.known.followed(k - 1) > 0, np.abs(weight) / over, 1.0))
         self.seen.append(np.where((weight < 0)[own.hist], totals, self.by[k - 1].discounted(totals)) / over[own.hist])
@@ -265,10 +279,11 @@ def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     with Rounds(docs.sparkSession, rows.mapInArrow(lambda batches: _packs(batches, pack_tokens), _PACKED.format(kind=kind)), tables) as rounds:
-        return _scored(rounds, kind, order)
+        return _scored(rounds, docs.schema[id_col].dataType, order)
 
 
-def _scored(rounds: Rounds, kind: str, order: int) -> DataFrame:
+def _scored(rounds: Rounds, id_type: T.DataType, order: int) -> DataFrame:
+    kind = to_arrow_type(id_type)
     parts, prune = rounds.parts, rounds.tables is None
     base, counts, weights, by = ["words", "sizes", "train", "stream"], [], [], []
 
@@ -288,46 +303,36 @@ def _scored(rounds: Rounds, kind: str, order: int) -> DataFrame:
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from questions(row, Known(Packed(row, 1), None, 0, prune), 1)
+                yield from questions(row, Known(Packed(row, 1), row, 0, prune), 1)
 
     def ask_counts(k: int):
-        def ask(own: pa.Table, told: pa.Table) -> pa.Table:
-            out = []
-            for row in own.to_pylist():
-                out += questions(row, Known(Packed(row, k), told, k - 1, prune), k)
-            return pa.Table.from_batches(out)
+        return lambda row: questions(row, Known(Packed(row, k), row, k - 1, prune), k)
 
-        return ask
-
-    def model_of(row: dict, told: pa.Table, k: int, last: int) -> Model:
+    def model_of(row: dict, k: int, last: int) -> Model:
         """Of order k, with the weights up to the last order."""
-        model = Model(Known(Packed(row, k), told, k, prune), by)
+        model = Model(Known(Packed(row, k), row, k, prune), by)
         for j in range(2, last + 1):
-            model.add(j, answer_of(told, order + j, np.float64))
+            model.add(j, answer_of(row, order + j, np.float64))
         return model
 
     def ask_weights(k: int):
-        def ask(own: pa.Table, told: pa.Table) -> pa.Table:
-            out = [batch_of(ASKED, [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())])]
-            for row in own.to_pylist():
-                model = model_of(row, told, k, k - 1)
-                keys, which = model.known.packed.levels[k - 2].keys, model.known.asking(k - 1)
-                which = which[np.argsort(keys[which])]
-                out += asked(row["pack"], keys[which], *(x[which] for x in model.sums(k)), parts)
-            return pa.Table.from_batches(out)
+        def ask(row: dict) -> Iterator[pa.RecordBatch]:
+            model = model_of(row, k, k - 1)
+            keys, (which, needed) = model.known.packed.levels[k - 2].keys, model.known.asking(k - 1)
+            order = np.argsort(keys[which])
+            which, needed = which[order], needed[order]
+            freed, seen = (x[which] for x in model.sums(k))
+            yield from asked(row["pack"], keys[which], np.where(needed, freed, -1 - freed), seen, parts)
 
         return ask
 
-    def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        for row in own.to_pylist():
-            model = model_of(row, told, order, order)
-            packed, words = model.known.packed, model.known.totals[0]
-            base = np.log10((words + 0.1) / (by[0].total + 0.1 * (by[0].distinct + 1)))
-            sums = [np.add.reduceat(x, packed.starts) for x in ((words > 0)[packed.w].astype(np.int64), base[packed.w], model.logs()[packed.stream])]
-            ids = own.column("ids").combine_chunks().flatten() if own.num_rows == 1 else pa.array(row["ids"], own.schema.field("ids").type.value_type)
-            out.append(pa.table({"id": ids, "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(packed.sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(packed.sizes), int(by[0].total))), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])}))
-        return pa.concat_tables(out)
+    def score(row: dict) -> Iterator[pa.RecordBatch]:
+        model = model_of(row, order, order)
+        packed, words = model.known.packed, model.known.totals[0]
+        base = np.log10((words + 0.1) / (by[0].total + 0.1 * (by[0].distinct + 1)))
+        sums = [np.add.reduceat(x, packed.starts) for x in ((words > 0)[packed.w].astype(np.int64), base[packed.w], model.logs()[packed.stream])]
+        columns = [pa.array(row["ids"], kind), pa.array(row["train"], pa.bool_()), pa.array(packed.sizes), pa.array(sums[0]), pa.array(np.full(len(packed.sizes), int(by[0].total))), pa.array(sums[1]), pa.array(sums[2])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def told_so_far() -> dict[int, DataFrame]:
         return dict(enumerate(counts, 1)) | {order + j: df for j, df in enumerate(weights, 2)}
@@ -340,7 +345,7 @@ def _scored(rounds: Rounds, kind: str, order: int) -> DataFrame:
     for k in range(2, order + 1):
         answers = {j: df for j, df in told_so_far().items() if j <= k or j > order}
         weights.append(rounds.told(rounds.with_answers(base, answers, ask_weights(k), ASKED), lambda t: _weighed(t, whole), f"weights-{k}"))
-    result = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    result = f"id {id_type.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return materialise(rounds.with_answers(["ids", *base], told_so_far(), score, result))
 
 

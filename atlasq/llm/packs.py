@@ -3,8 +3,8 @@
 A task packs its documents into a few rows (packs), each with its distinct 64-bit keys. In a round every pack asks for its
 keys; these go to ranges of the hash space, where what all packs say of a key is combined, and one value for each
 key asked returns. A pack asks for a key once, however often it has it, so no range is hot, and a range is a row of compressed
-arrays for each pack. The packs themselves lie in a table bucketed by pack, in the shared scratch folder, and don't move. There
-are as many ranges as keep one below a few million keys, whatever the session is set for.
+arrays for each pack. The packs themselves lie in a table bucketed by pack, in the shared scratch folder, and don't move; a
+round's answers move to them once and lie beside them for all later rounds. There are as many ranges as keep one below a few million keys, whatever the session is set for.
 
 Defined results: packs without keys ask for nothing and get empty answers; without packs there are no rows.
 """
@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import forget, materialise, scale, scratch
 
@@ -77,10 +78,10 @@ def told_table(part: int, rows: list[dict], keys: list[np.ndarray], answer: np.n
     return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("told", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.float64()))]))
 
 
-def answer_of(told: pa.Table, kind: int, dtype: type) -> np.ndarray:
-    """The values that round ``kind`` returned to one pack, in the order of its keys."""
-    rows = sorted(((r["part"], r["told"]) for r in told.to_pylist() if r["kind"] == kind), key=lambda r: r[0])
-    return np.concatenate([unpack(blob, dtype) for _, blob in rows]) if rows else np.zeros(0, dtype)
+def answer_of(row: dict, kind: int, dtype: type) -> np.ndarray:
+    """The values that round ``kind`` returned to a pack, in the order of its keys."""
+    rows = sorted(row[f"told_{kind}"] or [], key=lambda r: r["part"])
+    return np.concatenate([unpack(r["told"], dtype) for r in rows]) if rows else np.zeros(0, dtype)
 
 
 #: Keys that one Python call looks up, on average; so the number of ranges follows the corpus.
@@ -94,10 +95,10 @@ class Rounds:
         """packed has the columns pack and n_keys, the keys that it asks for in its largest round. tables: a folder in which
         the tables of all keys stay."""
         self.spark, self.tables, self.paths = spark, tables, [scratch(spark)]
-        self.name = f"atlasq_packs_{uuid.uuid4().hex}"
+        self.names = [f"atlasq_packs_{uuid.uuid4().hex}"]
         try:
-            packed.write.option("path", self.paths[0]).bucketBy(scale(spark), "pack").sortBy("pack").saveAsTable(self.name)
-            self.packs = spark.table(self.name)
+            packed.write.option("path", self.paths[0]).bucketBy(scale(spark), "pack").sortBy("pack").saveAsTable(self.names[0])
+            self.packs = spark.table(self.names[0])
             n_keys = self.packs.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
         except BaseException:
             self.close()
@@ -111,19 +112,31 @@ class Rounds:
         self.close()
 
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         forget(self.spark, *self.paths)
 
     def told(self, questions: DataFrame, answer: Callable[[pa.Table], pa.Table], title: str) -> DataFrame:
-        path = f"{self.tables}/{title}" if self.tables else scratch(self.spark)
-        if not self.tables:
-            self.paths.append(path)
-        return materialise(questions.groupBy("part").applyInArrow(answer, TOLD), path)
-
-    def with_answers(self, columns: list[str], told: dict[int, DataFrame], body: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        """body(pack, answers) for each pack; the answers of a round have its number as kind."""
-        all_told = None
+        """The answers of a round: dealt by pack like the packs themselves, so that they move once."""
+        found = questions.groupBy("part").applyInArrow(answer, TOLD)
+        if self.tables:
+            return materialise(found, f"{self.tables}/{title}")
+        self.paths.append(scratch(self.spark))
+        self.names.append(f"atlasq_told_{uuid.uuid4().hex}")
+        n = scale(self.spark)
+        found.repartition(n, "pack").write.option("path", self.paths[-1]).bucketBy(n, "pack").sortBy("pack").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def with_answers(self, columns: list[str], told: dict[int, DataFrame], body: Callable[[dict], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+        """body(row) for each pack; the answers of round k are its field told_k."""
+        rows = self.packs.select("pack", *columns)
         for k, df in told.items():
-            one = df.where("pack >= 0").select("pack", "part", "told", F.lit(k).alias("kind"))
-            all_told = one if all_told is None else all_told.union(one)
-        return self.packs.select("pack", *columns).groupBy("pack").cogroup(all_told.groupBy("pack")).applyInArrow(body, schema)
+            own = df.where("pack >= 0").groupBy("pack").agg(F.collect_list(F.struct("part", "told")).alias(f"told_{k}"))
+            rows = rows.join(own, "pack", "left")
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from body(batch.slice(i, 1).to_pylist()[0])
+
+        return rows.mapInArrow(step, schema)

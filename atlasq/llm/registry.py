@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .oracles import ORACLES
 from . import bpe, chat, decontaminate, katz, language_id, mil_quality, near_duplicates, pii, quality_rules, unit_dedup
 
 
@@ -68,9 +70,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Queries of the base columns alone, which SQL can state; the queries of the operators add what their methods find.
+BASES = {
+    "base_katz": (op1, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score")]),
+    "base_quality_rules": (op2, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]),
+    "base_pii": (op4, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]),
+}
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain rule of op7's operator: every later occurrence of a unit goes."""
+    out = unit_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"))
+
+
+def _base(query: Callable[[SparkSession, str], DataFrame], columns: list) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(spark, sf_dir).select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op4_pii": op4, "op5_chat": op5, "op6_language_id": op6, "op7_unit_dedup": op7, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10}
+    return {"op1_katz": op1, "op2_quality_rules": op2, "op3_near_duplicates": op3, "op4_pii": op4, "op5_chat": op5, "op6_language_id": op6, "op7_unit_dedup": op7, "op8_bpe": op8, "op9_quality_classifier": op9, "op10_decontamination": op10} | {name: _base(*b) for name, b in BASES.items()} | {"line_dedup": line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, told_table, unpack
 from .shared import SPACED, Words, materialise, places, slices, splitmix
@@ -231,42 +232,39 @@ def _covered(units: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.
     return np.cumsum(steps)[:n] > 0
 
 
-def _kept(own: pa.Table, told: pa.Table, schema: str, least: int) -> pa.Table:
-    out = []
-    for row in own.to_pylist():
-        n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
-        digest, start, end, words = unpack(row["digests"], np.uint64), *(unpack(row[k], np.uint32) for k in ("starts", "ends", "words"))
-        n_more, kinds = unpack(row["n_more"], np.uint32).astype(np.int64), unpack(row["more_kinds"], np.uint8)
-        all_digests, all_starts, all_ends = (np.concatenate([x, unpack(row[f"more_{k}"], x.dtype.type)]) for k, x in (("digests", digest), ("starts", start), ("ends", end)))
-        number = np.concatenate([np.repeat(np.arange(len(n_units)), n) for n in (n_units, n_more)])
-        keys, first, _ = _first_of(all_digests, np.array(row["ranks"], np.int64)[number], all_starts)
-        answer = answer_of(told, 1, np.uint8)
-        which = np.searchsorted(keys, all_digests)
-        repeated = ((answer & 1) > 0)[which]
-        repeated[first[answer == 3]] = False
-        earliest = first[which]
-        repeated &= (answer[which] != 3) | (number[earliest] != number) | (all_ends[earliest] <= all_starts)  # what overlaps the one that stays is none
-        repeat, again = repeated[: len(digest)], repeated[len(digest) :]
-        place = (number << 32) + all_starts, (number << 32) + all_ends
-        units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
-        inside = _covered(units, *(x[again & (kinds != OF_CUTS)] for x in more))
-        gone = repeat & (inside | (words >= least))
-        some_cuts = again & (kinds == OF_CUTS)
-        cut_spans = list(zip(all_starts[len(digest) :][some_cuts].tolist(), all_ends[len(digest) :][some_cuts].tolist()))
-        more_bounds = np.searchsorted(number[len(digest) :][some_cuts], np.arange(len(n_units) + 1)).tolist()
-        removed, texts, counts = [], [], []
-        bounds = np.append(0, np.cumsum(n_units)).tolist()
-        some = np.append(0, np.cumsum(gone))
-        for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
-            spans = []
-            if some[b] > some[a] or j > i:
-                spans = merged(cut_spans[i:j] + joined(gone[a:b], start[a:b], end[a:b]), start[a:b], end[a:b])
-            removed.append([{"start": s, "end": e} for s, e, _ in spans])
-            counts.append(sum(n for *_, n in spans))
-            texts.append(without(text, spans))
-        columns = [pa.array(row["ids"], own.schema.field("ids").type.value_type), pa.array(n_units), pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())]
-        out.append(pa.Table.from_batches([batch_of(schema, columns)]))
-    return pa.concat_tables(out)
+def _kept(row: dict, kind: pa.DataType, schema: str, least: int) -> Iterator[pa.RecordBatch]:
+    n_units = unpack(row["n_units"], np.uint32).astype(np.int64)
+    digest, start, end, words = unpack(row["digests"], np.uint64), *(unpack(row[k], np.uint32) for k in ("starts", "ends", "words"))
+    n_more, kinds = unpack(row["n_more"], np.uint32).astype(np.int64), unpack(row["more_kinds"], np.uint8)
+    all_digests, all_starts, all_ends = (np.concatenate([x, unpack(row[f"more_{k}"], x.dtype.type)]) for k, x in (("digests", digest), ("starts", start), ("ends", end)))
+    number = np.concatenate([np.repeat(np.arange(len(n_units)), n) for n in (n_units, n_more)])
+    keys, first, _ = _first_of(all_digests, np.array(row["ranks"], np.int64)[number], all_starts)
+    answer = answer_of(row, 1, np.uint8)
+    which = np.searchsorted(keys, all_digests)
+    repeated = ((answer & 1) > 0)[which]
+    repeated[first[answer == 3]] = False
+    earliest = first[which]
+    repeated &= (answer[which] != 3) | (number[earliest] != number) | (all_ends[earliest] <= all_starts)  # what overlaps the one that stays is none
+    repeat, again = repeated[: len(digest)], repeated[len(digest) :]
+    place = (number << 32) + all_starts, (number << 32) + all_ends
+    units, more = ([x[: len(digest)] for x in place], [x[len(digest) :] for x in place])
+    inside = _covered(units, *(x[again & (kinds != OF_CUTS)] for x in more))
+    gone = repeat & (inside | (words >= least))
+    some_cuts = again & (kinds == OF_CUTS)
+    cut_spans = list(zip(all_starts[len(digest) :][some_cuts].tolist(), all_ends[len(digest) :][some_cuts].tolist()))
+    more_bounds = np.searchsorted(number[len(digest) :][some_cuts], np.arange(len(n_units) + 1)).tolist()
+    removed, texts, counts = [], [], []
+    bounds = np.append(0, np.cumsum(n_units)).tolist()
+    some = np.append(0, np.cumsum(gone))
+    for text, a, b, i, j in zip(row["texts"], bounds, bounds[1:], more_bounds, more_bounds[1:]):
+        spans = []
+        if some[b] > some[a] or j > i:
+            spans = merged(cut_spans[i:j] + joined(gone[a:b], start[a:b], end[a:b]), start[a:b], end[a:b])
+        removed.append([{"start": s, "end": e} for s, e, _ in spans])
+        counts.append(sum(n for *_, n in spans))
+        texts.append(without(text, spans))
+    columns = [pa.array(row["ids"], kind), pa.array(n_units), pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())]
+    yield batch_of(schema, columns)
 
 
 def _ranked(docs: DataFrame, id_col: str, rank: Column) -> DataFrame:
@@ -289,7 +287,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = rounds.parts
         questions = rounds.packs.select("pack", "ranks", "n_units", "digests", "starts", "n_more", "more_digests", "more_starts").mapInArrow(lambda batches: _ask(batches, parts), ASKED)
         told = rounds.told(questions, _owned, "units")
-        return materialise(rounds.with_answers(["ids", "ranks", "texts", "n_units", "digests", "starts", "ends", "words", "n_more", "more_digests", "more_starts", "more_ends", "more_kinds"], {1: told}, lambda own, answers: _kept(own, answers, schema, least), _RESULT.format(kind=kind)))
+        columns, arrow = [c for c in rounds.packs.columns if c not in ("pack", "n_keys")], to_arrow_type(docs.schema[id_col].dataType)
+        return materialise(rounds.with_answers(columns, {1: told}, lambda row: _kept(row, arrow, schema, least), _RESULT.format(kind=kind)))
 
 
 def op7_unit_dedup(docs: DataFrame, passages: bool = True, least: int = SEED) -> DataFrame:

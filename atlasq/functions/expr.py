@@ -96,7 +96,17 @@ def target_hint(snippet: Column, getter: Column | None = None) -> Column:
     def first(pattern: str) -> Column:
         return F.nullif(F.lower(F.regexp_extract(snippet, f"(?i){pattern}([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)\\b", 1)), F.lit(""))
 
-    return F.coalesce(*([] if getter is None else [getter]), first("https?://"), first("lb://"), first(r"\bapi-domain:"))
+    return F.coalesce(*([] if getter is None else [getter]), first("https?://"), first("lb://"), api_domain(snippet))
+
+
+def api_domain(snippet: Column) -> Column:
+    """The host of a configured client, as its mark names it; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(snippet, r"(?i)\bapi-domain:([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)", 1)), F.lit(""))
+
+
+def external_service(snippet: Column) -> Column:
+    """The service outside the workspace that a mark names; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(snippet, r"(?i)\bexternal-microservice:([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)", 1)), F.lit(""))
 
 
 def url_getter(snippet: Column) -> Column:
@@ -252,12 +262,12 @@ def millicores(text: Column) -> Column:
 
 
 def memory_bytes(text: Column) -> Column:
-    """``128Mi`` or ``1G`` as bytes, null on errors."""
+    """``128Mi``, ``1.5G`` or a whole number as bytes, null on errors."""
     value = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)", 1)
     unit = F.regexp_extract(text, r"^[0-9]+(?:\.[0-9]+)?([KMGT]i?|)$", 1)
     powers = {"": 1, **{f"{u}i": 1024 ** (k + 1) for k, u in enumerate("KMGT")}, **{u: 1000 ** (k + 1) for k, u in enumerate("KMGT")}}
     by = F.create_map(*(F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in powers.items() for x in pair))
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?([KMGT]i?)?$"), (value.cast("double") * F.element_at(by, unit)).cast("long"))
+    return F.when(text.rlike(r"^[0-9]+((\.[0-9]+)?[KMGT]i?)?$"), (value.cast("double") * F.element_at(by, unit)).cast("long"))
 
 
 def word_tokens(text: Column) -> Column:
@@ -311,6 +321,7 @@ def in_git_folder(path: Column) -> Column:
 
 
 def is_excluded_module(path: Column, name: Column) -> Column:
-    """Test, mock and archetype modules."""
-    parts = F.split(path, "/")
-    return F.arrays_overlap(parts, F.array(F.lit("test"), F.lit("tests"))) | path.contains("mock") | path.endswith("-test") | name.contains("archteype")
+    """Test, mock and archetype modules: by a folder of the path relative to the workspace, or by the declared name; without
+    regard to case. The last word is spelled as a fixed value."""
+    parts, low = F.split(F.lower(path), "/"), F.lower(F.coalesce(name, F.lit("")))
+    return F.arrays_overlap(parts, F.array(F.lit("test"), F.lit("tests"))) | F.lower(path).contains("mock") | low.contains("mock") | low.endswith("-test") | low.contains("archteype")

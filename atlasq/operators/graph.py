@@ -26,14 +26,44 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return reach
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of nodes on cycles: the component is its lowest node."""
-    reach = closure(edges)
-    back = reach.select(F.col("source").alias("target"), F.col("target").alias("source"))
-    mutual = reach.join(back, ["source", "target"], "left_semi")
-    found = mutual.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.col("source")).alias("component"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    return found.join(sizes, "component").select("node", "component", "size")
+def _spread(value: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, value) where the lowest value has gone along all links (source, target)."""
+    for _ in range(max_rounds):
+        sent = links.join(value.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "value")
+        now = checkpointed(value.union(sent).groupBy("node").agg(F.min("value").alias("value")))
+        same = now.join(value, ["node", "value"], "left_anti").isEmpty()
+        value = now
+        if same:
+            break
+    return value
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node, component, size) of nodes on cycles: the component is its lowest node. No table of all pairs: every node takes
+    the lowest node that reaches it as its colour; the nodes of a colour that reach that node are its component; these go, and
+    links between colours with them. Nodes without a way in or out go first."""
+    pairs = edges.select("source", "target").distinct()
+    loops = checkpointed(pairs.where("source = target").select(F.col("source").alias("node")))
+    links, found = checkpointed(pairs.where("source <> target")), None
+    while not links.isEmpty():
+        both = links.select(F.col("source").alias("node")).distinct().join(links.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+        inner = checkpointed(links.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
+        if inner.count() < links.count():
+            links = inner
+            continue
+        nodes = links.select(F.col("source").alias("node")).distinct()
+        colour = _spread(nodes.withColumn("value", F.col("node")), links, max_rounds)
+        own = colour.select(F.col("node").alias("source"), F.col("value").alias("a")), colour.select(F.col("node").alias("target"), F.col("value").alias("b"))
+        within = checkpointed(links.join(own[0], "source").join(own[1], "target").where("a = b").select("source", "target"))
+        back = within.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        part = _spread(colour.where("node = value"), back, max_rounds).withColumnRenamed("value", "component")
+        found = part if found is None else checkpointed(found.union(part))
+        left = checkpointed(nodes.join(part, "node", "left_anti"))
+        links = checkpointed(within.join(left.withColumnRenamed("node", "source"), "source", "left_semi").join(left.withColumnRenamed("node", "target"), "target", "left_semi"))
+    alone = loops.select("node", F.col("node").alias("component"))
+    all_found = alone if found is None else found.union(alone.join(found, "node", "left_anti"))
+    sizes = all_found.groupBy("component").agg(F.count("*").alias("size"))
+    return all_found.join(sizes, "component").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("size > 1 OR loop").select("node", "component", "size")
 
 
 def event_cycles(components: DataFrame, kinds: DataFrame, least: int = 3) -> DataFrame:
@@ -43,6 +73,20 @@ def event_cycles(components: DataFrame, kinds: DataFrame, least: int = 3) -> Dat
     return out.where("services >= 2 AND topics >= 1")
 
 
+def type_closure(roots: DataFrame, references: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(root, type): all types that a root type refers to, itself included, each root's way for itself. references: (source,
+    target)."""
+    found = checkpointed(roots.select("root", F.col("root").alias("type")).distinct())
+    front = found
+    for _ in range(max_rounds):
+        step = front.join(references.select(F.col("source").alias("type"), F.col("target").alias("next")), "type").select("root", F.col("next").alias("type")).distinct()
+        front = checkpointed(step.join(found, ["root", "type"], "left_anti"))
+        if front.isEmpty():
+            break
+        found = checkpointed(found.union(front))
+    return found
+
+
 def two_way_pairs(edges: DataFrame) -> DataFrame:
     """(source, target) with source < target and edges both ways."""
     pairs = edges.select("source", "target").distinct()

@@ -33,7 +33,36 @@ def rest_edges(endpoints: DataFrame, names: DataFrame) -> DataFrame:
     calls = calls.join(unique_aliases(names), "alias").where(F.col("service") != F.col("system"))
     calls = calls.select(F.col("system").alias("source"), F.col("service").alias("target"), F.col("id").alias("call_id"), F.col("topic").alias("call_topic"))
     serves = endpoints.where("role = 'serve'").select(F.col("system").alias("target"), F.col("id").alias("serve_id"), "topic")
-    return calls.join(serves, "target").where(E.paths_match(F.col("call_topic"), F.col("topic"))).select("source", "target", "call_id", "serve_id", "topic").dropDuplicates(["call_id", "serve_id"])
+    return _matching(calls, serves).select("source", "target", "call_id", "serve_id", "topic").dropDuplicates(["call_id", "serve_id"])
+
+
+def _matching(calls: DataFrame, serves: DataFrame) -> DataFrame:
+    """calls(target, call_topic) with the matching served topics of their target. Routes of equal length meet by that length,
+    too; only those that end in ``**`` meet all of a service."""
+    def parted(df: DataFrame, topic: str, prefix: str) -> DataFrame:
+        parts = E.segments(E.path_of(F.col(topic)))
+        return df.withColumn("n_segments", F.size(parts)).withColumn(f"{prefix}_wild", F.coalesce(F.get(parts, F.size(parts) - 1) == "**", F.lit(False)))
+
+    a, b = parted(calls, "call_topic", "call"), parted(serves, "topic", "serve")
+    same = a.where("NOT call_wild").join(b.where("NOT serve_wild"), ["target", "n_segments"]).drop("n_segments")
+    wild = a.drop("n_segments").join(b.where("serve_wild").drop("n_segments"), "target")
+    other = a.where("call_wild").drop("n_segments").join(b.where("NOT serve_wild").drop("n_segments"), "target")
+    return same.unionByName(wild).unionByName(other).where(E.paths_match(F.col("call_topic"), F.col("topic")))
+
+
+def configured_resource_edges(endpoints: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, target, call_id, serve_id, topic): a configured client (its snippet has the api-domain mark, its topic is
+    dynamic) stands for a call of every route of its host that its method fits."""
+    calls = endpoints.where((F.col("role") == "call") & F.col("topic").endswith(E.DYNAMIC)).withColumn("alias", E.alias(E.api_domain(F.col("snippet"))))
+    calls = calls.join(unique_aliases(names), "alias").where(F.col("service") != F.col("system")).select(F.col("system").alias("source"), F.col("service").alias("target"), F.col("id").alias("call_id"), E.method_of(F.col("topic")).alias("method"))
+    serves = endpoints.where("role = 'serve'").select(F.col("system").alias("target"), F.col("id").alias("serve_id"), "topic")
+    return calls.join(serves, "target").where(E.methods_match(F.col("method"), E.method_of(F.col("topic")))).select("source", "target", "call_id", "serve_id", "topic").dropDuplicates(["call_id", "serve_id"])
+
+
+def external_edges(calls: DataFrame) -> DataFrame:
+    """(source, target, call_id): services outside the workspace that a client's mark names, once for each caller."""
+    named = calls.withColumn("target", E.external_service(F.col("snippet"))).where((F.col("role") == "call") & F.col("target").isNotNull() & (F.col("target") != F.col("system")))
+    return named.groupBy(F.col("system").alias("source"), "target").agg(F.min("id").alias("call_id"))
 
 
 def configured_edges(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,11 +167,29 @@ def resolve_name(names: DataFrame, asked: str, column: str = "name") -> DataFram
     return one.select(column)
 
 
+def containing(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, name) where the name contains the asked text in any case. A name has all pieces of three characters of a text it
+    contains (or the whole of a shorter one), so a text meets the names that have its rarest piece only. The empty text is in
+    all names, as one row asks it."""
+    def pieces(text: Column, size: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, size)))
+
+    a = asked.select("asked", F.lower("asked").alias("low"))
+    n = names.select("name", F.lower("name").alias("low_name"))
+    sizes = F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: k <= F.length("low_name")))
+    known = n.withColumn("size", sizes).withColumn("piece", F.explode(pieces(F.col("low_name"), F.col("size")))).select("name", "low_name", "piece")
+    counts = known.groupBy("piece").agg(F.count("*").alias("n"))
+    own = a.where("low <> ''").withColumn("piece", F.explode(pieces(F.col("low"), F.least(F.lit(3), F.length("low"))))).join(counts, "piece", "left")
+    rarest = own.groupBy("asked", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
+    found = rarest.join(known, "piece").where(F.col("low_name").contains(F.col("low"))).select("asked", "name")
+    return found.union(a.where("low = ''").select("asked").crossJoin(n.select("name")))
+
+
 def name_resolutions(asked: DataFrame, names: DataFrame) -> DataFrame:
     """The same for a table of asked names: (asked, status, name)."""
     a, n = asked.select("asked").distinct(), names.select("name").distinct()
     exact = a.join(n, a["asked"] == n["name"]).select("asked", "name", F.lit(0).alias("class"))
-    part = a.join(F.broadcast(n), F.lower("name").contains(F.lower("asked"))).select("asked", "name", F.lit(1).alias("class"))
+    part = containing(a, n).select("asked", "name", F.lit(1).alias("class"))
     ranked = exact.union(part).withColumn("r", F.rank().over(W.partitionBy("asked").orderBy("class"))).where("r = 1")
     best = ranked.groupBy("asked").agg(F.countDistinct("name").alias("n"), F.min("name").alias("name"))
     status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found")
@@ -152,12 +199,48 @@ def name_resolutions(asked: DataFrame, names: DataFrame) -> DataFrame:
 def overlay_claims(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     """One runtime row for each static key: exact matches before heuristic ones; of exact ones the last, of heuristic ones
     the first, by ``order``."""
-    exact = rows.where("status = 'matched'").groupBy(*key).agg(F.max(F.struct(order.alias("o"), *rows.columns)).alias("x"))
+    exact = rows.where("status = 'matched'").groupBy(*key).agg(F.max(F.struct(order.alias("_order"), *rows.columns)).alias("x"))
     exact = exact.select([F.col(f"x.{c}").alias(c) for c in rows.columns])
-    rest = rows.where("status = 'heuristic'").join(exact.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct(order.alias("o"), *rows.columns)).alias("x"))
+    rest = rows.where("status = 'heuristic'").join(exact.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct(order.alias("_order"), *rows.columns)).alias("x"))
     return exact.unionByName(rest.select([F.col(f"x.{c}").alias(c) for c in rows.columns]))
 
 
+def edge_claims(relations: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runtime relations on pairs of services, in three passes: first those with both ends equal to a service (of several the
+    last by calls and name); then those with both ends found, for pairs not taken (the first of them); what is left is
+    unresolved, by end, and a relation whose pair another one took in the same pass is dropped. relations: (source, target,
+    calls, error_rate); names: what fuzzy_names says (name, status, matched). Returns claims and unresolved ends."""
+    def end(side: str) -> DataFrame:
+        return names.select(F.col("name").alias(side), F.col("status").alias(f"{side}_status"), F.col("matched").alias(f"{side}_node"))
+
+    rows = relations.join(end("source"), "source").join(end("target"), "target")
+    exact, sure = (F.col("source_status").isin(*s) & F.col("target_status").isin(*s) for s in (("matched",), ("matched", "heuristic")))
+    rows = rows.withColumn("status", F.when(exact, "matched").when(sure, "heuristic"))
+    order = F.struct(F.col("calls"), F.col("source"), F.col("target"))
+    claims = overlay_claims(rows.where("status IS NOT NULL"), ["source_node", "target_node"], order)
+    lost = rows.where("status IS NULL")
+    ends = [lost.where(~F.col(f"{side}_status").isin("matched", "heuristic")).select(F.col(side).alias("name"), F.lit(role).alias("role"), "calls", "error_rate", F.col(f"{side}_status").alias("status")) for side, role in (("source", "source"), ("target", "destination"))]
+    return claims.select("source_node", "target_node", "calls", "error_rate", "status"), ends[0].unionByName(ends[1])
+
+
+def persistence_owners(uses: DataFrame, classes: DataFrame, reach: DataFrame) -> DataFrame:
+    """(service, collection, module, name): the persistence classes of a used collection in modules that the service reaches,
+    itself included; without one there, the only class of all. uses: (service, collection); classes: (collection, module,
+    name); reach: (source, target)."""
+    near = reach.select(F.col("source").alias("service"), F.col("target").alias("module")).union(uses.select("service", F.col("service").alias("module"))).distinct()
+    candidates = uses.select("service", "collection").distinct().join(classes, "collection")
+    scoped = candidates.join(near, ["service", "module"], "left_semi")
+    one = classes.groupBy("collection").agg(F.count("*").alias("n")).where("n = 1").select("collection")
+    rest = candidates.join(scoped.select("service", "collection").distinct(), ["service", "collection"], "left_anti").join(one, "collection", "left_semi")
+    return scoped.unionByName(rest).select("service", "collection", "module", "name")
+
+
+def with_workloads(modules: DataFrame, workloads: DataFrame) -> DataFrame:
+    """Modules with all workloads of exactly their name, sorted."""
+    named = workloads.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("namespace", "kind"))).alias("workloads"))
+    return modules.join(named, "name", "left").withColumn("workloads", F.coalesce("workloads", F.array()))
+
+
 def unresolved_merge(rows: DataFrame) -> DataFrame:
     """Unmapped names by role: calls added, all candidates once."""
     return rows.groupBy("name", "role").agg(F.sum("calls").alias("calls"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("candidates")))).alias("candidates"))

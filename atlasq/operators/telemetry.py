@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..plans.scratch import checkpointed
 
 #: The default budgets.
 MAX_RELATIONS, MAX_BYTES, MAX_BUCKETS = 80, 50_000, 5_000
@@ -144,11 +145,17 @@ def triage(services: DataFrame, transactions: DataFrame, dependencies: DataFrame
     return rows.withColumn("score", score).orderBy(F.col("score").desc(), "kind", "name").limit(limit)
 
 
-def anomalies(services: DataFrame, dependencies: DataFrame, least_rate: float, limit: int = 5) -> DataFrame:
-    """Candidates in order of their kind, then of their rate."""
+def anomalies(services: DataFrame, dependencies: DataFrame, least_rate: float, limit: int = 5, traces: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """Candidates in order of their kind, then of their rate: services, dependencies, failed traces (trace_id, failures, spans),
+    and coverage that was cut (what, truncated)."""
     one = services.where(F.col("error_rate") >= least_rate).select(F.lit(0).alias("priority"), F.lit("service").alias("kind"), F.col("service").alias("name"), "error_rate")
     two = dependencies.where(F.col("error_rate") >= least_rate).select(F.lit(1).alias("priority"), F.lit("dependency").alias("kind"), F.concat_ws(" -> ", "source", "target", "target_type").alias("name"), "error_rate")
-    return one.union(two).orderBy("priority", F.col("error_rate").desc(), "name").limit(limit)
+    both = one.union(two)
+    if traces is not None:
+        both = both.union(traces.where("failures > 0").select(F.lit(2), F.lit("trace"), F.col("trace_id").cast("string"), E.ratio(F.col("failures"), F.col("spans"))))
+    if coverage is not None:
+        both = both.union(coverage.where("truncated").select(F.lit(3), F.lit("coverage"), "what", F.lit(None).cast("double")))
+    return both.orderBy("priority", F.col("error_rate").desc(), "name").limit(limit)
 
 
 def hotspots(dependencies: DataFrame) -> DataFrame:
@@ -157,25 +164,40 @@ def hotspots(dependencies: DataFrame) -> DataFrame:
     return dependencies.crossJoin(F.broadcast(slowest)).where((F.col("error_rate") > 0) | (F.col("average_ms") >= 0.7 * F.col("slowest"))).drop("slowest")  # one row is broadcast
 
 
+def running(df: DataFrame, by: list[str], order: list[str], weight: Column, name: str) -> DataFrame:
+    """The sum of weights of all rows of a group up to each row, in a total order. Rows are dealt by ranges of that order, so
+    a group of any size spreads over tasks: each range has its own running sum, and begins at the sum of the ranges before."""
+    ranged = checkpointed(df.withColumn("_w", weight).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy("_p", *by).agg(F.sum("_w").alias("_s"))
+    before = sums.withColumn("_b", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")  # a row a range
+    out = ranged.withColumn(name, F.sum("_w").over(W.partitionBy("_p", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    same = out["_p"] == before["_p"]
+    for c in by:
+        same = same & out[c].eqNullSafe(before[c])
+    return out.join(before, same).select(*(out[c] for c in df.columns), (out[name] + before["_b"]).cast("long").alias(name))
+
+
 def soft_terciles(df: DataFrame, score: str, key: str, kind: str) -> DataFrame:
-    """Three tiers for each kind, sizes differing by one at most: tier, rank, population and the tier's first and last rank."""
-    order = W.partitionBy(kind).orderBy(score, key)
-    tile = W.partitionBy(kind, "tier")
-    return (
-        df.withColumn("tier", F.ntile(3).over(order)).withColumn("rank", F.row_number().over(order)).withColumn("population", F.count("*").over(W.partitionBy(kind)))
-        .withColumn("tier_first", F.min("rank").over(tile)).withColumn("tier_last", F.max("rank").over(tile))
-    )
+    """Three tiers for each kind, sizes differing by one at most, the larger ones first: tier, rank, population and the tier's
+    first and last rank."""
+    sizes = df.groupBy(kind).agg(F.count("*").alias("population"))
+    ranked = running(df, [kind], [score, key], F.lit(1), "rank")
+    ranked = ranked.join(sizes, ranked[kind].eqNullSafe(sizes[kind])).drop(sizes[kind])
+    small, more = F.floor(F.col("population") / 3), F.col("population") % 3
+    large = more * (small + 1)
+    tier = F.when(F.col("rank") <= large, F.ceil(F.col("rank") / (small + 1))).otherwise(more + F.ceil((F.col("rank") - large) / F.greatest(small, F.lit(1))))
+    last = F.col("tier") * small + F.least("tier", more)
+    return ranked.withColumn("tier", tier.cast("int")).withColumn("tier_last", last.cast("int")).withColumn("tier_first", (F.col("tier_last") - small - F.when(F.col("tier") <= more, 1).otherwise(0) + 1).cast("int")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def volume_levels(df: DataFrame, value: str = "calls") -> DataFrame:
     """low, medium or high by how many values are at most as large; equal values share a level. Values are counted first, so
     the ordered pass sees each distinct value once."""
-    counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    third = F.greatest(F.lit(1.0), total / 3)
-    rank = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    counts = running(df.groupBy(value).agg(F.count("*").alias("n")), [], [value], F.col("n"), "volume_rank")
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
+    third, rank = F.greatest(F.lit(1.0), F.col("_total") / 3), F.col("volume_rank")
     level = F.when(rank <= third, "low").when(rank <= 2 * third, "medium").otherwise("high")
-    return df.join(counts.select(value, rank.alias("volume_rank"), level.alias("level")), value)
+    return df.join(counts.crossJoin(total).select(value, "volume_rank", level.alias("level")), value)
 
 
 def floor_percentile(values: Column, q: float) -> Column:

@@ -32,10 +32,16 @@ def capped_spans(spans: DataFrame, cap: int) -> DataFrame:
     return sized.where(F.col("step") <= cap).withColumn("truncated", F.col("trace_size") > cap)
 
 
+def one_parent(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, parent_id) once for each span: repeated rows are one, of several parents the lowest counts, and rows
+    without a span id are none."""
+    return spans.where("span_id IS NOT NULL").groupBy("trace_id", "span_id").agg(F.min("parent_id").alias("parent_id"))
+
+
 def span_depth(spans: DataFrame) -> DataFrame:
     """depth of each span: 0 where the parent is absent. One join a round, for as many rounds as the deepest tree has,
     MAX_DEPTH at most."""
-    nodes = spans.select("trace_id", "span_id", "parent_id")
+    nodes = one_parent(spans)
     known = nodes.select("trace_id", F.col("span_id").alias("parent_id"))
     linked = nodes.join(known.distinct(), ["trace_id", "parent_id"])
     link = linked.select("trace_id", F.col("span_id").alias("child"), F.col("parent_id").alias("above"))
@@ -49,7 +55,7 @@ def span_depth(spans: DataFrame) -> DataFrame:
 def span_depth_by_paths(spans: DataFrame) -> DataFrame:
     """The same by one grouping: a trace's spans are one row, and each climbs its parents inside it. For traces of bounded
     size, as after ``capped_spans``."""
-    tree = spans.groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("span_id", "parent_id")))).alias("parents"))
+    tree = one_parent(spans).groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("span_id", "parent_id")))).alias("parents"))
     climbed = F.transform(
         F.map_keys("parents"),
         lambda span: F.struct(
@@ -123,6 +129,46 @@ def failure_signatures(spans: DataFrame, category: Column, limit: int | None = N
     return out if limit is None else out.orderBy(F.col("failures").desc(), "service", "category").limit(limit)
 
 
+def span_events(rows: DataFrame) -> DataFrame:
+    """Rows of spans: by their kind, or because they name an operation in either layout."""
+    return rows.where((F.col("event") == "span") | F.col("span_name").isNotNull() | F.col("name").isNotNull())
+
+
+def coalesced(rows: DataFrame) -> DataFrame:
+    """One layout for spans of both: id, parent, name and microseconds, where the second layout has nanoseconds. Rows without
+    id, time, service or name go."""
+    def first(*names: str) -> Column:
+        return F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+
+    time = F.coalesce("transaction_duration_us", "span_duration_us", F.col("duration") / 1000)
+    out = rows.select("trace_id", first("span_id", "native_span_id").alias("span_id"), first("parent_id", "native_parent_id").alias("parent_id"), "service", "ts", first("transaction_name", "span_name", "name").alias("name"), time.alias("duration_us"), "outcome")
+    return out.where("span_id IS NOT NULL AND ts IS NOT NULL AND service IS NOT NULL AND name IS NOT NULL")
+
+
+def trace_order(traces: DataFrame) -> list[Column]:
+    """By source kind, then the source's name in any case, then time."""
+    rank = F.when(traces["source_kind"] == "http_service", 0).when(traces["source_kind"] == "topic", 1).when(traces["source_kind"] == "service", 2).otherwise(3)
+    return [rank, F.lower(traces["source"]), traces["ts"]]
+
+
+def timeline(spans: DataFrame, traces: DataFrame | None, cap: int) -> DataFrame:
+    """Spans of the selected traces (all without a selection) in time, ``cap`` at most."""
+    return (spans if traces is None else spans_of(spans, traces)).orderBy("ts", "trace_id", "span_id").limit(cap)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """The second redaction: labels, kinds and categories once more through their allowlists, whatever came before."""
+    from ..functions import expr as E
+
+    label = F.when(F.col("label").rlike(E.LABEL_TOPIC) | (F.split_part("label", F.lit(" "), F.lit(1)).isin(*E.LABEL_METHODS) & F.split_part("label", F.lit(" "), F.lit(2)).rlike(E.LABEL_ROUTE)), F.col("label"))
+    return rows.withColumns({"label": label, "span_type": E.span_type(F.col("span_type")), "error": F.when(F.col("error").isin(*E.ERROR_MARKS, "failure"), F.col("error"))})
+
+
+def embedded(json: Column) -> Column:
+    """JSON that may stand inside a script element."""
+    return F.replace(json, F.lit("</"), F.lit("<\\/"))
+
+
 def contributions(spans: DataFrame) -> DataFrame:
     """Time of each service within a trace."""
     return spans.groupBy("trace_id", "service").agg(F.sum("duration_us").alias("duration_us"))

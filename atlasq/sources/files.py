@@ -27,6 +27,31 @@ def scan(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*",), e
     return rows.where(wanted if tests else wanted & ~E.is_test_source(F.col("path")))
 
 
+#: Fixed value: files that make a folder a build.
+BUILD_FILE = r"(^|/)(pom\.xml|build\.gradle(\.kts)?|settings\.gradle(\.kts)?)$"
+
+
+def build_roots(paths: DataFrame, depth: int = 5) -> DataFrame:
+    """(root): the outermost build folders, ``depth`` below the scanned root at most; none where the root is a build itself, as
+    then everything is scanned. An equi join of folders with their ancestors."""
+    from ..operators.resolve import ancestors
+
+    found = paths.where(F.col("path").rlike(BUILD_FILE) & ~E.in_git_folder(F.col("path"))).select(F.regexp_replace("path", "/?[^/]*$", "").alias("root")).distinct()
+    whole = F.broadcast(found.agg(F.coalesce(F.bool_or(F.col("root") == ""), F.lit(False)).alias("whole")))  # one row
+    near = found.crossJoin(whole).where(~F.col("whole") & (F.size(F.split("root", "/")) <= depth)).select("root")
+    above = near.select("root", F.explode(ancestors(F.col("root"))).alias("above"))
+    return near.join(above.join(near.select(F.col("root").alias("above")), "above", "left_semi").select("root").distinct(), "root", "left_anti")
+
+
+def without_excluded(paths: DataFrame, modules: DataFrame) -> DataFrame:
+    """Paths outside test, mock and archetype modules. modules: (folder, name)."""
+    from ..operators.resolve import ancestors
+
+    out = modules.where(E.is_excluded_module(F.col("folder"), F.col("name"))).select("folder").distinct()
+    inside = paths.select("path", F.explode(ancestors(F.col("path"))).alias("folder")).join(out, "folder", "left_semi").select("path").distinct()
+    return paths.join(inside, "path", "left_anti")
+
+
 def texts(files: DataFrame) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
@@ -77,8 +102,16 @@ def property_rank(path: Column) -> Column:
     return base + F.when(name.endswith(".yml"), 0).when(name.endswith(".yaml"), 1).otherwise(2)
 
 
+#: Words by which a key shows what kind of value it wants.
+SECRET_WORDS = ("passw", "secret", "token", "credential", "apikey", "api-key", "private")
+FLAG_WORDS = ("enabled", "enable", "active", "on", "verify")
+NUMBER_WORDS = ("port", "timeout", "max", "min", "limit", "size", "delay", "attempts", "ttl")
+
+
 def property_templates(texts: DataFrame) -> DataFrame:
     """(path, key, example): keys that code asks for; keys that look secret get a synthetic example."""
-    found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (r"\$\{([A-Za-z0-9_.-]+)", r"getProperty\(\s*\"([^\"]+)\"", r"ConditionalOnProperty\([^)]*?\"([^\"]+)\"", r"ConfigurationProperties\(\s*(?:prefix\s*=\s*)?\"([^\"]+)\""))))
+    found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (r"\$\{([A-Za-z0-9_.-]+)", r"get(?:Required)?Property\(\s*\"([^\"]+)\"", r"ConditionalOnProperty\((?:[^)]*?\b(?:name|value)\s*=\s*|\s*)\{?\s*\"([^\"]+)\"", r"ConfigurationProperties\(\s*(?:prefix\s*=\s*)?\"([^\"]+)\""))))
     rows = texts.select("path", F.explode(F.array_distinct(found)).alias("key"))
-    return rows.withColumn("example", F.when(F.col("key").rlike("(?i)password|secret|token|credential|key$"), "<secret>").when(F.col("key").rlike("(?i)(enabled?|ssl|secure|debug)$"), "false").when(F.col("key").rlike("(?i)(port|timeout|retries|count|size|interval|duration)$"), "0").otherwise("<string>"))
+    last = F.lower(F.substring_index("key", ".", -1))
+    out = F.when(F.lower("key").rlike("|".join(SECRET_WORDS)), "<secret>").when(last.rlike(f"({'|'.join(FLAG_WORDS)})$"), "false")
+    return rows.withColumn("example", out.when(last.rlike(f"({'|'.join(NUMBER_WORDS)})$"), "0").otherwise("<string>"))

@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from atlasq.plans import queries
+from atlasq.plans import fact_queries, queries  # noqa: F401  both register
 from tests.conftest import DATA
 
 
@@ -19,7 +19,7 @@ def tables():
 
 def plain(df):
     def value(x):
-        return None if x is None or x is pd.NaT or x != x else round(float(x), 9) if isinstance(x, float) else str(x)
+        return None if x is None or x is pd.NaT or x is pd.NA or x != x else round(float(x), 9) if isinstance(x, float) else str(x)
 
     return sorted((tuple(value(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 

@@ -2,7 +2,9 @@
 
 Conversations are sorted by the digests of their turns, so those with a common beginning stand together, and dealt out
 by ranges of that order and their id: a first turn that a third of all conversations share is spread over tasks. Each
-task cuts its run into packs of bounded size. In a pack every shared turn is emitted once, depth first; a token's
+task cuts its run into packs of bounded size; what a pack shares with the one before stands in both, as no token can attend to
+another pack's. With ``whole_trees`` all conversations of one first turn go to one pack instead, so every shared turn is
+emitted once altogether, at the price of packs as large as the largest tree. In a pack every shared turn is emitted once, depth first; a token's
 position is its place in the conversation, and each turn lists the token intervals of its ancestors, which are all that
 it may attend to besides its own earlier tokens.
 
@@ -104,14 +106,17 @@ class Pack:
         self.conversations.append({"conv_id": conv_id, "node": self.path[-1][1] if self.path else -1})
 
 
-def packed(conversations: DataFrame, ranks_path: str, pattern: str, pack_tokens: int = PACK_TOKENS) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as packs: input_ids, position_ids, loss_mask, nodes and conversations."""
+def packed(conversations: DataFrame, ranks_path: str, pattern: str, pack_tokens: int = PACK_TOKENS, whole_trees: bool = False) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as packs: input_ids, position_ids, loss_mask, nodes and conversations. whole_trees:
+    don't cut between conversations that share their first turn."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     path = F.array_join(F.transform("turns", lambda t: F.substring(F.md5(F.concat(t["role"], F.lit("\n"), t["text"])), 1, 16)), "")
     rows = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), path.alias("path"))
-    sorted_rows = rows.repartitionByRange(scale(conversations.sparkSession), "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
+    n = scale(conversations.sparkSession)
+    dealt = rows.repartition(n, F.substring("path", 1, 16)) if whole_trees else rows.repartitionByRange(n, "path", "conv_id")
+    sorted_rows = dealt.sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, pack = Marks(tokenizer(ranks_path, pattern)), None
@@ -124,11 +129,12 @@ def packed(conversations: DataFrame, ranks_path: str, pattern: str, pack_tokens:
                 return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((pack.ids, pack.positions, pack.learned, pack.nodes, pack.conversations), arrays)], names=names)
 
             for conv_id, turns in zip(ids, batch.column(1)):
-                if pack and len(pack.ids) >= pack_tokens:
+                turns = [(t["role"], t["text"]) for t in turns.as_py()]
+                if pack and len(pack.ids) >= pack_tokens and not (whole_trees and pack.path and turns and pack.path[0][0] == turns[0]):
                     yield row(pack)
                     pack = None
                 pack = pack or Pack(marks)
-                pack.add(conv_id.as_py(), [(t["role"], t["text"]) for t in turns.as_py()])
+                pack.add(conv_id.as_py(), turns)
         if pack:
             yield row(pack)
 

@@ -40,7 +40,7 @@ from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, pa
 from .shared import SPACED, Words, crc_bucket, materialise, slices, splitmix
 
 #: Words in the longest n-grams, tokens that are packed together, and the largest count that is discounted.
-ORDER, PACK, LARGE = 3, 1_600_000, 5
+ORDER, PACK, LARGE = 3, 1_000_000, 5
 #: Stand-ins for the hashes of the begin and the end of a text.
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
@@ -117,8 +117,9 @@ class Packed:
             codes, at = np.unique(np.append(hist * n + self.w, below.start * n + start), return_inverse=True)
             at, top = at[:-1], int(at[-1])
             own = Level(splitmix(splitmix(below.keys + np.uint64(k))[codes // n] + words[codes % n]), np.bincount(at[taught], minlength=len(codes)), top)
-            own.hist, own.lower = codes // n, np.full(len(codes), below.start)
+            own.hist, own.lower = (codes // n).astype(np.int32), np.full(len(codes), below.start, np.int32)
             own.lower[at] = stream
+            del codes, hist
             stream = at
             self.levels.append(own)
         self.stream = stream

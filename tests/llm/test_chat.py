@@ -63,3 +63,13 @@ def test_packs_share_initial_turns_depth_first(spark):
 def test_escaping_is_reversible_and_hides_marks(text):
     assert chat.unescape(chat.escape(text)) == text and chat.unescape(chat.escape_role(text)) == text
     assert "<|" not in chat.escape(text) and "\n" not in chat.escape_role(text)
+
+
+def test_whole_trees_are_emitted_once(spark):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"shared {t}" if t < 2 + c % 3 else f"own {c} {t} " * 30) for c in range(60) for t in range(5)]
+    rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    prefixes = {tuple((r, x) for k, t, r, x in turns if k == c and t <= last) for c in range(60) for last in range(5)}
+    n = lambda **k: sum(len(r["nodes"]) for r in chat.packed(rows, *byte_bpe(), pack_tokens=500, **k).collect())
+    assert n(whole_trees=True) == len(prefixes) < n()
+    back = chat.read_back(chat.packed(rows, *byte_bpe(), pack_tokens=500, whole_trees=True), *byte_bpe())
+    assert sorted((r["conv_id"], len(r["texts"])) for r in back.collect()) == [(c, 5) for c in range(60)]

@@ -9,7 +9,7 @@ divided by the lower order's probability of all words not seen after it, is its
 unigrams frees is the probability of the unknown word. Where nothing is freed (all counts after h are large), h counts once
 more. So every distribution sums to one over the vocabulary and the unknown word. Texts begin behind ORDER - 1 start marks.
 
-The corpus is read once. A task packs a million tokens and more into one row: its distinct words and its texts as numbers
+The corpus is read once. A task packs several hundred thousand tokens into one row: its distinct words and its texts as numbers
 of words. Rounds then look up, for the distinct keys of each such row, what the whole corpus knows: the counts of words, of
 pairs, of triples, and then the back-off weights order by order. In each round the keys go to partitions of the hash space,
 are summed there, and the totals return, one value for each key asked. However frequent a word or copied a text, a row asks
@@ -40,7 +40,7 @@ from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, pa
 from .shared import SPACED, Words, crc_bucket, materialise, slices, splitmix
 
 #: Words in the longest n-grams, tokens that are packed together, and the largest count that is discounted.
-ORDER, PACK, LARGE = 3, 1_000_000, 5
+ORDER, PACK, LARGE = 3, 700_000, 5
 #: Stand-ins for the hashes of the begin and the end of a text.
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 

@@ -13,7 +13,7 @@ from . import graph, resolve
 #: Names of the catalog's kinds.
 KINDS = {"microservice": "microservices", "service": "microservices", "services": "microservices", "microservices": "microservices", "module": "modules", "modules": "modules", "topic": "topics", "topics": "topics", "api": "apis", "apis": "apis", "endpoint": "apis", "collection": "collections", "collections": "collections", "mongodb": "collections"}
 #: Fixed value: operations that write to a collection.
-WRITES = ("insert", "insertMany", "save", "saveAll", "update", "updateFirst", "updateMulti", "upsert", "replace", "remove", "delete", "deleteAll", "findAndModify", "findAndRemove", "bulkOps")
+WRITES = ("bulkOps", "findAndModify", "findAndReplace", "insert", "remove", "save", "updateFirst", "updateMulti", "upsert")
 #: What a role says of a service and a topic or API.
 ROLE_RELATIONS = {"produce": ("publishes", "topic"), "consume": ("consumes", "topic"), "serve": ("provides", "api"), "call": ("calls", "api")}
 

@@ -75,6 +75,14 @@ def filtered(findings: DataFrame, least_severity: str | None = None, rule_id: st
     return out if module is None else out.where(F.col("module") == module)
 
 
+def trace_flow(endpoints: DataFrame, query: str) -> DataFrame:
+    """All endpoints of the topic or route that the query means: the exact one, else the only one that contains it."""
+    from .resolve import resolve_name
+
+    one = resolve_name(endpoints, query, "topic")
+    return endpoints.join(F.broadcast(one), "topic", "left_semi").dropDuplicates(["system", "id"])  # one row
+
+
 def context(files: DataFrame, places: DataFrame, around: int = 5) -> DataFrame:
     """places(path, line) with the lines around. files: (path, text)."""
     lines = F.split("text", "\n")

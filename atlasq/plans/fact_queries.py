@@ -235,6 +235,13 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return catalog.graph_summary(nodes, edges.withColumn("label", F.lit("")))
 
 
+@query(_with_ends("SELECT relation, count(*) AS n FROM (SELECT DISTINCT CASE role WHEN 'produce' THEN 'publishes' WHEN 'consume' THEN 'consumes' WHEN 'serve' THEN 'provides' ELSE 'calls' END AS relation, system, topic, path, start_line FROM ends UNION ALL SELECT DISTINCT 'publishes_to', source, target, '', 0 FROM kafka_edges UNION ALL SELECT DISTINCT 'calls_service', source, target, '', 0 FROM pairs) GROUP BY relation", "kafka_edges", "pairs"))
+def relation_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rest = T.all_edges(spark, d).select("source", "target", F.lit("").alias("call_id"))
+    topics = resolve.topic_edges(T.topic_endpoints(spark, d)).select("source", "target").distinct()
+    return catalog.coverage(catalog.relations(_endpoints(spark, d), rest, topics))
+
+
 _REL = "SELECT relation, confidence, count(*) AS n FROM ("
 _KIND = "(SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'microservice' ELSE 'module' END FROM nation WHERE n_name = {c})"
 _SURE = "CASE WHEN topic_dynamic THEN 'medium' ELSE 'high' END"

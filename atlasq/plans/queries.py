@@ -101,6 +101,7 @@ def newest_buckets(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.capped_newest_first(latency_hourly(spark, d), 500, ["service"]).select("service", "window", "calls")
 
 
+_TXNS = f"WITH hours AS ({_hours('service, transaction')}), merged AS ({_merged('service, transaction')}) SELECT service, label, {_LAT_DERIVED} FROM (SELECT service, {_LABEL} AS label, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(known_calls) AS BIGINT) AS known_calls, CAST(sum(success_calls) AS BIGINT) AS success_calls, CAST(sum(CAST(average_ms * calls * 1000 AS DECIMAL(38,3))) AS DOUBLE) AS duration_us, max(p95_us) AS p95_us FROM merged GROUP BY ALL)"
 _RANKED = "SELECT *, (SELECT count(*) FROM totals b WHERE b.calls <= a.calls) AS volume_rank, greatest(1, (SELECT count(*) FROM totals) / 3.0) AS third FROM totals a"
 
 
@@ -116,16 +117,16 @@ def complexity_tercile(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.soft_terciles(counts, "degree", "node", "kind").select("node", "kind", "degree", "tier", "rank", "population", "tier_first", "tier_last")
 
 
-@query(with_views("SELECT * FROM (SELECT 'dependency' AS kind, source || ' -> ' || target || ' -> ' || target_type AS name, calls, error_rate, average_ms AS time_ms FROM depm UNION ALL SELECT 'service', service, calls, error_rate, p95_ms FROM merged) ORDER BY calls * coalesce(error_rate, 0) * 1000 + coalesce(time_ms, 0) * log10(greatest(1, calls)) DESC, kind, name LIMIT 3", "depm", "lat", hours=_hours("service"), merged=_merged("service")))
+@query(with_views("SELECT * FROM (SELECT 'dependency' AS kind, source || ' -> ' || target || ' -> ' || target_type AS name, calls, error_rate, average_ms AS time_ms FROM depm UNION ALL SELECT 'service', service, calls, error_rate, p95_ms FROM merged UNION ALL SELECT 'transaction', service || ' ' || label, calls, error_rate, p95_ms FROM txns) ORDER BY calls * coalesce(error_rate, 0) * 1000 + coalesce(time_ms, 0) * log10(greatest(1, calls)) DESC, kind, name LIMIT 3", "depm", "lat", txns=_TXNS, hours=_hours("service"), merged=_merged("service")))
 def triage_top(spark: SparkSession, d: str) -> DataFrame:
-    services = _latency(spark, d, ["service"])
-    none = services.withColumn("label", F.lit("")).where("false")
-    return telemetry.triage(services, none, dep_relations(spark, d)).drop("score")
+    return telemetry.triage(_latency(spark, d, ["service"]), txn_rollup(spark, d), dep_relations(spark, d)).drop("score")
 
 
-@query(with_views("SELECT priority, kind, name, error_rate FROM (SELECT 0 AS priority, 'service' AS kind, service AS name, error_rate FROM merged WHERE error_rate >= 0.2 UNION ALL SELECT 1, 'dependency', source || ' -> ' || target || ' -> ' || target_type, error_rate FROM depm WHERE error_rate >= 0.2) ORDER BY priority, error_rate DESC, name LIMIT 5", "depm", "lat", hours=_hours("service"), merged=_merged("service")))
+@query(with_views("SELECT priority, kind, name, error_rate FROM (SELECT 0 AS priority, 'service' AS kind, service AS name, error_rate FROM merged WHERE error_rate >= 0.2 UNION ALL SELECT 1, 'dependency', source || ' -> ' || target || ' -> ' || target_type, error_rate FROM depm WHERE error_rate >= 0.2 UNION ALL SELECT 2, 'trace', CAST(trace_id AS VARCHAR), count(*) FILTER (outcome = 'failure') / CAST(count(*) AS DOUBLE) FROM spans GROUP BY trace_id HAVING count(*) FILTER (outcome = 'failure') > 0 UNION ALL SELECT 3, 'coverage', 'dependencies', NULL FROM depm HAVING count(*) > 80) ORDER BY priority, error_rate DESC NULLS LAST, name LIMIT 2000", "depm", "lat", "spans", hours=_hours("service"), merged=_merged("service")))
 def anomaly_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.anomalies(_latency(spark, d, ["service"]), dep_relations(spark, d), 0.2)
+    dependencies = dep_relations(spark, d)
+    cut = telemetry.coverage_envelope(dependencies, telemetry.MAX_RELATIONS).select(F.lit("dependencies").alias("what"), "truncated")
+    return telemetry.anomalies(_latency(spark, d, ["service"]), dependencies, 0.2, 2000, traces.waterfall(T.spans(spark, d)), cut)
 
 
 @query(with_views(f"SELECT {_DEP} FROM depm WHERE error_rate > 0 OR average_ms >= 0.7 * (SELECT max(average_ms) FROM depm)", "depm"))
@@ -189,87 +190,55 @@ def topic_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("name", F.nullif(F.array_join("produce", ","), F.lit("")).alias("produce"), F.nullif(F.array_join("consume", ","), F.lit("")).alias("consume"))
 
 
-@query(with_views("SELECT a.source, a.target FROM e a JOIN e b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target", "pairs", e=T.strongest_sql(3)))
+@query(with_views("SELECT a.source, a.target FROM pairs a JOIN pairs b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target", "pairs"))
 def two_way_cycle(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_way_pairs(T.strongest_edges(spark, d, 3))
+    return graph.two_way_pairs(T.all_edges(spark, d))
 
 
-_REACH = "SELECT source, target FROM e UNION SELECT r.source, e.target FROM reach r JOIN e ON r.target = e.source"
+_REACH = "SELECT source, target FROM pairs UNION SELECT r.source, e.target FROM reach r JOIN pairs e ON r.target = e.source"
 
 
-@query(with_views("SELECT source, target FROM reach", "pairs", recursive=True, e=T.strongest_sql(1), reach=_REACH))
+@query(with_views("SELECT source, target FROM reach", "pairs", recursive=True, reach=_REACH))
 def closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(T.strongest_edges(spark, d, 1))
+    return graph.closure(T.all_edges(spark, d))
 
 
-@query(with_views("SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT a.source AS node, least(a.source, min(a.target)) AS component FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source GROUP BY a.source)", "pairs", recursive=True, e=T.strongest_sql(1), reach=_REACH))
+@query(with_views("SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT a.source AS node, least(a.source, min(a.target)) AS component FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source GROUP BY a.source)", "pairs", recursive=True, reach=_REACH))
 def scc_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strong_components(T.strongest_edges(spark, d, 1))
+    return graph.strong_components(T.all_edges(spark, d))
 
 
-_WALK = "SELECT 'NATION_0' AS node, 'NATION_0' AS path, 0 AS length UNION ALL SELECT e.target, w.path || ' -[]-> ' || e.target, w.length + 1 FROM walk w JOIN e ON w.node = e.source WHERE w.length < 6 AND NOT contains(w.path || ' ', e.target || ' ')"
+# Distances first, then only the ways along which they grow.
+_LEVELS = "SELECT n_name AS start, n_name AS node, 0 AS d FROM nation WHERE n_name IN (SELECT source FROM pairs UNION SELECT target FROM pairs) UNION SELECT l.start, e.target, l.d + 1 FROM levels l JOIN pairs e ON e.source = l.node WHERE l.d < 12"
+_WALK = "SELECT start, node, node AS path, 0 AS length FROM levels WHERE d = 0 UNION ALL SELECT w.start, e.target, w.path || ' -[]-> ' || e.target, w.length + 1 FROM walk w JOIN pairs e ON w.node = e.source JOIN dist ON dist.start = w.start AND dist.node = e.target AND dist.d = w.length + 1"
 
 
-@query(with_views("SELECT 'NATION_0' AS \"start\", node AS \"end\", length, path FROM (SELECT *, min(length) OVER (PARTITION BY node) AS best FROM walk) WHERE length = best AND node IN (SELECT source FROM e UNION SELECT target FROM e)", "pairs", recursive=True, e=T.strongest_sql(2), walk=_WALK))
+@query(with_views("SELECT start, node AS \"end\", length, path FROM walk", "pairs", recursive=True, levels=_LEVELS, dist="SELECT start, node, min(d) AS d FROM levels GROUP BY ALL", walk=_WALK))
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    edges = T.strongest_edges(spark, d, 2)
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    return graph.shortest_paths(edges, spark.createDataFrame([("NATION_0",)], "node string"), nodes, max_depth=6)
-
-
-@query(with_views("SELECT DISTINCT source AS node, 'out' AS direction, 'rest' AS relation, target AS neighbour FROM e UNION SELECT DISTINCT target, 'in', 'rest', source FROM e", "pairs", e=T.strongest_sql(3)))
-def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(T.strongest_edges(spark, d, 3))
-
-
-@query(with_views("SELECT node, count(*) AS degree, count(*) AS n_rest FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY node", "pairs", e=T.strongest_sql(3)))
-def degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(T.strongest_edges(spark, d, 3), ["rest"])
-
-
-# The same six over all pairs; recursive SQL over them enumerates too many ways, so paths have none.
-
-
-@query(with_views("SELECT a.source, a.target FROM pairs a JOIN pairs b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target", "pairs"))
-def two_way_cycle_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_way_pairs(T.all_edges(spark, d))
-
-
-@query()
-def closure_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(T.all_edges(spark, d))
-
-
-@query()
-def scc_cycles_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strong_components(T.all_edges(spark, d))
-
-
-@query()
-def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """From every node to every node."""
     edges = T.all_edges(spark, d)
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    return graph.shortest_paths(edges, spark.createDataFrame([("NATION_0",)], "node string"), nodes)
+    return graph.shortest_paths(edges, nodes, nodes)
 
 
 @query(with_views("SELECT source AS node, 'out' AS direction, 'rest' AS relation, target AS neighbour FROM pairs UNION SELECT target, 'in', 'rest', source FROM pairs", "pairs"))
-def neighbors_all(spark: SparkSession, d: str) -> DataFrame:
+def neighbors(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(T.all_edges(spark, d))
 
 
 @query(with_views("SELECT node, count(*) AS degree, count(*) AS n_rest FROM (SELECT source AS node FROM pairs UNION ALL SELECT target FROM pairs) GROUP BY node", "pairs"))
-def degrees_all(spark: SparkSession, d: str) -> DataFrame:
+def degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(T.all_edges(spark, d), ["rest"])
 
 
-_FLOW = "SELECT topic, 1 AS depth, topic || ' > ' || system AS path, [system] AS services, system, false AS cycle_detected FROM uses WHERE topic = 'Brand#1' UNION ALL SELECT f.topic, f.depth + 1, f.path || ' > ' || m.topic || ' > ' || u.system, list_append(f.services, u.system), u.system, list_contains(f.services, u.system) FROM flow f JOIN makes m ON m.system = f.system JOIN uses u ON u.topic = m.topic WHERE NOT f.cycle_detected AND f.depth < 2"
+_FLOW = "SELECT topic, 1 AS depth, topic || ' > ' || system AS path, [system] AS services, system, false AS cycle_detected FROM uses UNION ALL SELECT f.topic, f.depth + 1, f.path || ' > ' || m.topic || ' > ' || u.system, list_append(f.services, u.system), u.system, list_contains(f.services, u.system) FROM flow f JOIN makes m ON m.system = f.system JOIN uses u ON u.topic = m.topic WHERE NOT f.cycle_detected AND f.depth < 2"
 
 
 @query(with_views("SELECT topic, depth, path, cycle_detected FROM flow", "kafka", recursive=True, uses="SELECT DISTINCT topic, system FROM kafka WHERE role = 'consume'", makes="SELECT DISTINCT topic, system FROM kafka WHERE role = 'produce'", flow=_FLOW))
 def flow_trace(spark: SparkSession, d: str) -> DataFrame:
     rows = T.topic_endpoints(spark, d)
     use, make = (rows.where(F.col("role") == role).select("topic", F.col("system").alias("service")) for role in ("consume", "produce"))
-    return graph.flow_trace(use, make, spark.createDataFrame([("Brand#1",)], "topic string"), max_depth=2)
+    return graph.flow_trace(use, make, use.select("topic").distinct(), max_depth=2)
 
 
 @query(with_views("SELECT trace_id, w AS \"window\", services, latest FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY w, latest DESC) AS n FROM (SELECT trace_id, ts // 3600 AS w, count(DISTINCT service) AS services, max(ts) AS latest FROM spans GROUP BY ALL HAVING count(DISTINCT service) > 1)) WHERE n = 1", "spans"))
@@ -300,9 +269,12 @@ def slow_spans(spark: SparkSession, d: str) -> DataFrame:
     return traces.slow_spans(T.spans(spark, d), ["service"]).select("trace_id", "span_id", "service", "duration_us", "bound")
 
 
-@query(with_views("SELECT service, count(*) FILTER (n = 1) AS step_1, count(*) FILTER (n = 2) AS step_2, count(*) FILTER (n = 3) AS step_3, count(*) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, span_id) AS n FROM spans) WHERE outcome = 'failure' GROUP BY service", "spans"))
+_STEPS = range(1, 11)
+
+
+@query(with_views(f"SELECT service, {', '.join(f'count(*) FILTER (n = {k}) AS step_{k}' for k in _STEPS)}, count(*) AS failures FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, span_id) AS n FROM spans) WHERE outcome = 'failure' GROUP BY service", "spans"))
 def failure_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return traces.failure_matrix(T.spans(spark, d), [1, 2, 3])
+    return traces.failure_matrix(T.spans(spark, d), list(_STEPS))
 
 
 @query(with_views("SELECT service, category, n AS failures, x.trace_id AS trace_id, x.span_id AS span_id, x.duration_us AS duration_us FROM (SELECT service, name AS category, count(*) AS n, max({'duration_us': duration_us, 'trace_id': trace_id, 'span_id': span_id}) AS x FROM spans WHERE outcome = 'failure' GROUP BY ALL)", "spans"))
@@ -416,17 +388,15 @@ def name_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolve.name_resolutions(asked, part.select(F.col("p_name").alias("name")))
 
 
-@query(with_views("SELECT relation, count(*) AS n FROM (SELECT DISTINCT system, CASE role WHEN 'produce' THEN 'publishes' ELSE 'consumes' END AS relation, topic FROM kafka UNION SELECT DISTINCT source, 'publishes_to', target FROM kafka_edges) GROUP BY relation", "kafka_edges"))
-def relation_coverage(spark: SparkSession, d: str) -> DataFrame:
-    endpoints = T.topic_endpoints(spark, d).withColumn("path", F.lit(None).cast("string")).withColumn("start_line", F.lit(None).cast("int"))
-    edges = resolve.topic_edges(endpoints)
-    return catalog.coverage(catalog.relations(endpoints, edges.where("false").withColumn("call_id", F.lit("")), edges.select("source", "target").distinct()))
+_JSON = """'{"source":"' || source || '","target":"' || target || '","target_type":"' || target_type || '","calls":' || calls || ',"failure_calls":' || failure_calls || '}'"""
 
 
-@query()
+@query(with_views(f"SELECT source, target, target_type, calls, failure_calls, truncated FROM (SELECT *, n < least(t, 81) AS truncated, max(n) OVER () AS last FROM (SELECT *, 14 + sum(length({_JSON})) OVER (ORDER BY n) + n - 1 + 14 + CASE WHEN n < least(t, 81) THEN 4 ELSE 5 END + 1 AS size FROM (SELECT *, row_number() OVER (ORDER BY calls DESC, source, target, target_type) AS n, count(*) OVER () AS t FROM depm)) WHERE n <= 80 AND size <= 5000) QUALIFY true".replace("n < least(t, 81) AS truncated, max(n) OVER () AS last", "max(n) OVER () < least(t, 81) AS truncated").replace(" QUALIFY true", ""), "depm"))
 def byte_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: JSON text differs between engines."""
-    return telemetry.byte_budget_rows(dep_relations(spark, d), telemetry.digest_order(), 5_000)
+    """The longest prefix whose document, mark of truncation included, fits into 5000 bytes."""
+    columns = ["source", "target", "target_type", "calls", "failure_calls"]
+    rows, cut = telemetry.byte_budget(dep_relations(spark, d).select(*columns), telemetry.digest_order(), 5_000)
+    return spark.createDataFrame([(*(r[c] for c in columns), cut) for r in rows], "source string, target string, target_type string, calls bigint, failure_calls bigint, truncated boolean")
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

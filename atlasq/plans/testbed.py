@@ -7,7 +7,6 @@ events for latency, conversations for traces and documents for findings and file
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -89,12 +88,6 @@ def all_edges(spark: SparkSession, d: str) -> DataFrame:
     return trade(spark, d).where("source <> target").select("source", "target", F.lit("rest").alias("kind"), F.lit("").alias("label")).distinct()
 
 
-def strongest_edges(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """The k busiest targets of each source, no loops: a sparse graph of services."""
-    counts = trade(spark, d).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("calls"))
-    return counts.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy(F.col("calls").desc(), "target"))).where(F.col("n") <= k).select("source", "target", F.lit("rest").alias("kind"), F.lit("").alias("label"))
-
-
 def findings(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
@@ -131,10 +124,6 @@ SQL = {
 NEEDS = {"dep": ["trade"], "deps": ["dep"], "depm": ["deps"], "rest": ["raw_rest"], "flows": ["trade"], "kafka": ["flows"], "kafka_edges": ["kafka"], "pairs": ["trade"]}
 
 
-def strongest_sql(k: int) -> str:
-    return f"SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY calls DESC, target) AS n FROM pairs) WHERE n <= {k}"
-
-
 def with_views(sql: str, *names: str, recursive: bool = False, **more: str) -> str:
     """The query behind a WITH clause of the views named and of what they need."""
     order: list[str] = []

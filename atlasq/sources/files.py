@@ -102,16 +102,16 @@ def property_rank(path: Column) -> Column:
     return base + F.when(name.endswith(".yml"), 0).when(name.endswith(".yaml"), 1).otherwise(2)
 
 
-#: Words by which a key shows what kind of value it wants.
-SECRET_WORDS = ("passw", "secret", "token", "credential", "apikey", "api-key", "private")
-FLAG_WORDS = ("enabled", "enable", "active", "on", "verify")
-NUMBER_WORDS = ("port", "timeout", "max", "min", "limit", "size", "delay", "attempts", "ttl")
+#: Words by which a key shows what kind of value it wants; secrets anywhere in it, the others at its end.
+SECRET_WORDS = ("password", "passwd", "secret", "token", "credential", "api[-_.]?key", "private[-_.]?key")
+FLAG_WORDS = ("enable", "enabled", "ssl", "secure", "debug")
+NUMBER_WORDS = ("port", "timeout", "retries", "count", "size", "interval", "duration")
 
 
 def property_templates(texts: DataFrame) -> DataFrame:
     """(path, key, example): keys that code asks for; keys that look secret get a synthetic example."""
     found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (r"\$\{([A-Za-z0-9_.-]+)", r"get(?:Required)?Property\(\s*\"([^\"]+)\"", r"ConditionalOnProperty\((?:[^)]*?\b(?:name|value)\s*=\s*|\s*)\{?\s*\"([^\"]+)\"", r"ConfigurationProperties\(\s*(?:prefix\s*=\s*)?\"([^\"]+)\""))))
     rows = texts.select("path", F.explode(F.array_distinct(found)).alias("key"))
-    last = F.lower(F.substring_index("key", ".", -1))
-    out = F.when(F.lower("key").rlike("|".join(SECRET_WORDS)), "<secret>").when(last.rlike(f"({'|'.join(FLAG_WORDS)})$"), "false")
-    return rows.withColumn("example", out.when(last.rlike(f"({'|'.join(NUMBER_WORDS)})$"), "0").otherwise("<string>"))
+    low = F.lower("key")
+    out = F.when(low.rlike("|".join(SECRET_WORDS)), "<secret>").when(low.rlike(f"({'|'.join(FLAG_WORDS)})$"), "false")
+    return rows.withColumn("example", out.when(low.rlike(f"({'|'.join(NUMBER_WORDS)})$"), "0").otherwise("<string>"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +60,13 @@ def header_end(text: str, at: int) -> int:
     return len(text)
 
 
+def masked(text: str) -> str:
+    """The text with spaces in place of its literals."""
+    return re.sub(rf"{_STRING}|'(?:[^'\\\n]|\\.)'", lambda m: " " * len(m[0]), text)
+
+
 def statement_start(text: str, at: int) -> int:
+    """Where the statement or declaration begins in a masked text."""
     return max(text.rfind(c, 0, at) for c in ";{}") + 1
 
 
@@ -90,6 +96,7 @@ class Expressions:
     """Expressions of one file; fields that ``@Value`` names stand for their placeholder."""
 
     def __init__(self, text: str) -> None:
+        self.mask = masked(text)
         self.fields = {m[2]: unescaped(m[1][1:-1]) for m in re.finditer(rf"@Value\s*\(\s*({_STRING})\s*\)\s*(?:(?:private|protected|public|final|static)\s+)*[\w<>.]+\s+(\w+)", text)}
 
     def value(self, text: str) -> tuple[str | None, bool]:
@@ -125,13 +132,13 @@ def _route(*parts: str) -> str:
     return "/" + "/".join(s for p in parts for s in re.sub(r"[?#].*$", "", re.sub(r"^[a-z]+://[^/]*", "", p)).split("/") if s)
 
 
-def types_of(text: str) -> list[tuple[int, int, int, str, str]]:
+def types_of(text: str, mask: str) -> list[tuple[int, int, int, str, str]]:
     """(begin of annotations, begin of the body, end, kind, name) of every type declared."""
     out = []
-    for m in re.finditer(r"\b(class|interface|record|enum)\s+(\w+)", text):
+    for m in re.finditer(r"\b(class|interface|record|enum)\s+(\w+)", mask):
         body = header_end(text, m.end())
         end = balanced(text, body, "{}") if text[body : body + 1] == "{" else body
-        out.append((statement_start(text, m.start()), body, len(text) if end < 0 else end, m[1], m[2]))
+        out.append((statement_start(mask, m.start()), body, len(text) if end < 0 else end, m[1], m[2]))
     return out
 
 
@@ -144,11 +151,10 @@ def facts_of(path: str, source: str) -> Iterator[tuple]:
         dynamic = dynamic or (topic is not None and (topic.endswith(E.DYNAMIC) or "${" in topic))
         return path, fact, role, topic, dynamic, framework, bisect_right(starts, a), bisect_right(starts, max(a, b - 1)), source[a:b], kind
 
-    bare = re.sub(rf"{_STRING}|'(?:[^'\\\n]|\\.)'", "", text)
-    if bare.count("{") != bare.count("}") or bare.count("(") != bare.count(")"):
+    if any(own.mask.count(a) != own.mask.count(b) for a, b in ("{}", "()")):
         yield row("diagnostic", None, None, "unparseable", 0, len(text))
         return
-    types = types_of(text)
+    types = types_of(text, own.mask)
 
     def around(at: int) -> tuple[int, int, int, str, str] | None:
         """The innermost type whose body holds the place."""
@@ -185,7 +191,7 @@ def facts_of(path: str, source: str) -> Iterator[tuple]:
         yield called(method, own.value(arguments[0]), "resttemplate", m.start(), b)
     last = 0
     for m in re.finditer(r"\.\s*uri\s*\(", text):
-        b, begin = closed(text, m.end() - 1), statement_start(text, m.start())
+        b, begin = closed(text, m.end() - 1), statement_start(own.mask, m.start())
         if verb := re.findall(r"\.\s*(get|post|put|patch|delete|head|options)\s*\(\s*\)", text[begin : m.start()]):
             yield called(verb[-1].upper(), own.value(split(text[m.end() : b - 1], ",")[0]), "webclient", m.start(), b)
         elif target := re.search(r'"(lb://[^"]+)"', text[m.start() : b]):
@@ -322,13 +328,13 @@ def _kafka(text: str, own: Expressions, row) -> Iterator[tuple]:
             continue
         getter = re.search(_GETTER, arguments[0])
         topic = _topic_name(getter[1]) if getter else topic_of(arguments[0])
-        built = re.search(r"KafkaHeaders\s*\.\s*TOPIC\s*,\s*", text[statement_start(text, m.start()) : b])
+        built = re.search(r"KafkaHeaders\s*\.\s*TOPIC\s*,\s*", text[statement_start(own.mask, m.start()) : b])
         if topic == E.DYNAMIC and built:
-            at = statement_start(text, m.start()) + built.end()
+            at = statement_start(own.mask, m.start()) + built.end()
             topic = topic_of(split(text[at:b], ")")[0])
         yield row("kafka", "produce", topic, "kafka-convention" if getter or m[1] else "kafka", m.start(), b, payload(arguments))
     for m in re.finditer(r"\.\s*(?:(stream)|(to))\s*\(\s*", text):
-        begin = text[statement_start(text, m.start()) : m.end()]
+        begin = text[statement_start(own.mask, m.start()) : m.end()]
         if re.search(r"\b\w*[sS]treams?[bB]uilder\w*|\bKStream\b", begin) or (m[2] and re.search(r"\.\s*(?:stream|mapValues|filter|toStream)\s*\(", begin)):
             b = closed(text, text.index("(", m.start()))
             yield row("kafka", "consume" if m[1] else "produce", topic_of(split(text[m.end() : b - 1], ",")[0]), "kafka-streams", m.start(), b)
@@ -338,13 +344,14 @@ def _kafka(text: str, own: Expressions, row) -> Iterator[tuple]:
             yield row("kafka", "consume", value or E.DYNAMIC, "kafka-consumer", m.start(), b, dynamic=unknown)
 
 
-def facts(texts: DataFrame) -> DataFrame:
-    """All facts of the Java files among (path, text)."""
+def facts(texts: DataFrame, extensions: tuple[Callable[[str, str], Iterator[tuple]], ...] = ()) -> DataFrame:
+    """All facts of the Java files among (path, text). extensions: extractors of a project's own conventions, called like
+    ``facts_of``."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in _FACT.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([f for path, text in zip(batch["path"], batch["text"]) if text is not None for f in facts_of(path, text)], columns=columns)
+            yield pd.DataFrame([f for path, text in zip(batch["path"], batch["text"]) if text is not None for extract_one in (facts_of, *extensions) for f in extract_one(path, text)], columns=columns)
 
     return texts.where(F.col("path").endswith(".java")).select("path", "text").mapInPandas(extract, _FACT)
 

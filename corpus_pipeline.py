@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again before the next one, so a
 lost executor costs the running stage at most. All but the last return the columns of documents.
+
+Defined results: null, empty and wordless texts fail the quality rules and go; repeated rows are near duplicates, so one stays;
+very long texts pass like others; columns besides those of documents are kept through all stages, but one named like an output
+of the last stage is replaced there; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -62,3 +62,27 @@ def test_features_do_not_depend_on_neighbours():
     alone = [mil_quality.features(pa.array([t]))[0] for t in texts]
     together, begins = mil_quality.features(pa.array(texts))
     assert all(np.array_equal(x, together[a:b]) for x, a, b in zip(alone, begins, begins[1:]))
+
+
+def test_scores_against_brute_force(spark):
+    """The fitted model's attention and score, passage by passage and unit by unit."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    model = mil_quality.fitted(*mil_quality.sample_of(docs, labels, F.crc32(F.col("key").cast("string")) % 5 != 0, "doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in mil_quality.op9_quality_classifier(docs, labels).collect()}
+    p, sigmoid = model.weights, lambda x: 1 / (1 + math.exp(-x))
+    for r in docs.where("doc_id < 40").collect():
+        x, _ = mil_quality.features(pa.array([r["text"] or ""]))
+        encoded, logits = [], []
+        for row in x:
+            scaled = [max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.std)]
+            h = [math.tanh(sum(v * w for v, w in zip(scaled, p["we"][:, j])) + p["be"][j]) for j in range(mil_quality.ENCODED)]
+            gated = [math.tanh(sum(a * w for a, w in zip(h, p["wt"][:, j]))) * sigmoid(sum(a * w for a, w in zip(h, p["wg"][:, j]))) for j in range(mil_quality.ATTENTION)]
+            encoded.append(h)
+            logits.append(sum(a * w for a, w in zip(gated, p["wa"])))
+        weights = [math.exp(v - max(logits)) for v in logits]
+        bag = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(mil_quality.ENCODED)]
+        assert got[r["doc_id"]] == pytest.approx(sigmoid(sum(a * w for a, w in zip(bag, p["wo"])) + p["bo"]), abs=1e-9)

@@ -1,5 +1,7 @@
 import collections
+import math
 import re
+import unicodedata
 
 from atlasq.llm import quality_rules
 from tests.conftest import DATA
@@ -38,3 +40,29 @@ def test_odd_and_empty_tables(odd):
     assert not quality_rules.op2_quality_rules(odd.where("text IS NULL")).first()["kept"]
     assert quality_rules.op2_quality_rules(odd.where("false")).count() == 0
     assert "own" in {r["lang"] for r in quality_rules.judged(odd).collect()}
+
+
+def votes(text):
+    """The nine rules by plain counting, in their order."""
+    text = text or ""
+    n, chars, symbols, dup, repeated, _ = brute(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    of = lambda kinds: sum(unicodedata.category(c) in kinds or unicodedata.category(c)[0] in kinds for c in text)
+    capitals, shouts, alnum = of(("Lu",)), sum(c in "!?" for c in text), of(("L", "N"))
+    bare = sum(not any(unicodedata.category(c)[0] in "LN" for c in w) for w in words)
+    pairs = [
+        (n < 20, n >= 50), (symbols * 10 > n, symbols * 50 <= n), (capitals * 5 > chars * 2, capitals * 5 < chars), (alnum * 5 < chars * 4, alnum * 20 >= chars * 17), (bare * 5 > n, bare * 20 <= n),
+        (shouts * 5 > n, shouts * 20 <= n), (dup * 10 > len(lines) * 3, dup * 20 <= len(lines) and len(lines) > 2), (repeated * 10 > n * 3, repeated * 20 <= n), (chars < n * 2 or chars > n * 12, n * 3 <= chars <= n * 9),
+    ]
+    return "".join("a" if not n else "b" if bad else "g" if good else "a" for bad, good in pairs)
+
+
+def test_posterior_and_kept_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    cast = {r["doc_id"]: votes(r["text"]) for r in docs.collect()}
+    start, gains = quality_rules.fit(dict(collections.Counter(cast.values())), 9)
+    for r in quality_rules.op2_quality_rules(docs).collect():
+        odds = start + sum(g[v] for g, v in zip(gains, cast[r["doc_id"]]))
+        assert abs(r["posterior"] - 1 / (1 + math.exp(-odds))) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and odds >= 0)

@@ -72,13 +72,14 @@ def placeholders(spark: SparkSession, d: str) -> DataFrame:
     return _T(spark, d, "supplier").select("s_suppkey", E.placeholder_key(text).alias("key"), E.resolved(known, text).alias("value"))
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 20 > 0 THEN event_id % 20 * CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 END END AS seconds, CASE event_id % 8 WHEN 0 THEN event_id % 20 WHEN 1 THEN event_id % 20 * 1000 WHEN 2 THEN event_id % 20 * 1000 + 500 END AS cpu, CASE event_id % 8 WHEN 0 THEN (event_id % 20) * 1024 WHEN 1 THEN (event_id % 20) * 1000000 WHEN 2 THEN (event_id % 20) * 1073741824 + 536870912 WHEN 3 THEN event_id % 20 END AS memory FROM events")
+@query(f"SELECT event_id, coalesce(seconds, -1) AS seconds, coalesce(cpu, -1) AS cpu, coalesce(memory, -1) AS memory FROM (SELECT event_id, CASE WHEN event_id % 20 > 0 THEN event_id % 20 * CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 END END AS seconds, CASE event_id % 8 WHEN 0 THEN event_id % 20 WHEN 1 THEN event_id % 20 * 1000 WHEN 2 THEN event_id % 20 * 1000 + 500 END AS cpu, CASE event_id % 8 WHEN 0 THEN (event_id % 20) * 1024 WHEN 1 THEN (event_id % 20) * 1000000 WHEN 2 THEN (event_id % 20) * 1073741824 + 536870912 WHEN 3 THEN event_id % 20 END AS memory FROM events)")
 def units(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("event_id") % 20).cast("string")
     time = F.concat(n, _pick(F.col("event_id"), "s", "m", "h", "d", "x"))
     cpu = F.concat(n, _pick(F.col("event_id"), "m", "", ".5", "Mi", "x", "m5", "..", "k"))
     memory = F.concat(n, _pick(F.col("event_id"), "Ki", "M", ".5Gi", "", ".5", "x", "KiB", "Z"))
-    return _T(spark, d, "events").select("event_id", E.duration_seconds(time).alias("seconds"), E.millicores(cpu).cast("long").alias("cpu"), E.memory_bytes(memory).alias("memory"))
+    values = {"seconds": E.duration_seconds(time), "cpu": E.millicores(cpu).cast("long"), "memory": E.memory_bytes(memory)}
+    return _T(spark, d, "events").select("event_id", *(F.coalesce(v, F.lit(-1)).alias(k) for k, v in values.items()))
 
 
 _METHODS, _KINDS, _SUB = ("GET", "post", "FETCH", None), ("db", "external", "messaging", "custom", "DB"), ("kafka", "http", "mongodb")
@@ -294,11 +295,11 @@ def runtime_modules(spark: SparkSession, d: str) -> DataFrame:
     return catalog.runtime_modules(_modules(spark, d)).select("name", "path")
 
 
-@query(_with_ends("SELECT * FROM (WITH n AS (SELECT DISTINCT system AS node, 'microservice' AS kind FROM ends UNION SELECT DISTINCT " + _TOPIC_NODE + ", CASE WHEN role IN ('produce', 'consume') THEN 'topic' ELSE 'api' END FROM ends), g AS (SELECT DISTINCT system, role, " + _TOPIC_NODE + " AS topic FROM ends), deg AS (SELECT node, count(*) AS relations FROM (SELECT system AS node FROM g UNION ALL SELECT topic FROM g) GROUP BY node), r AS (SELECT n.node, kind, coalesce(relations, 0) AS relations FROM n LEFT JOIN deg ON n.node = deg.node), f AS (SELECT 'NATION_' || (id % 25) AS node, severity FROM finding) SELECT r.node, kind, relations, CASE WHEN kind = 'microservice' THEN list_extract(['low', 'medium', 'high'], CAST(ntile(3) OVER (PARTITION BY kind ORDER BY relations, r.node) AS BIGINT)) END AS level, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'INFO') END AS info, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'WARNING') END AS warning, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'ERROR') END AS error FROM r)", "finding"))
+@query(_with_ends("SELECT * FROM (WITH n AS (SELECT DISTINCT system AS node, 'microservice' AS kind FROM ends UNION SELECT DISTINCT " + _TOPIC_NODE + ", CASE WHEN role IN ('produce', 'consume') THEN 'topic' ELSE 'api' END FROM ends), g AS (SELECT DISTINCT system, role, " + _TOPIC_NODE + " AS topic FROM ends), deg AS (SELECT node, count(*) AS relations FROM (SELECT system AS node FROM g UNION ALL SELECT topic FROM g) GROUP BY node), r AS (SELECT n.node, kind, coalesce(relations, 0) AS relations FROM n LEFT JOIN deg ON n.node = deg.node), f AS (SELECT 'NATION_' || (id % 25) AS node, severity FROM finding) SELECT r.node, kind, relations, CASE WHEN kind = 'microservice' THEN list_extract(['low', 'medium', 'high'], CAST(ntile(3) OVER (PARTITION BY kind ORDER BY relations, r.node) AS BIGINT)) END AS level, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'INFO') ELSE -1 END AS info, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'WARNING') ELSE -1 END AS warning, CASE WHEN kind = 'microservice' THEN (SELECT count(*) FROM f WHERE f.node = r.node AND severity = 'ERROR') ELSE -1 END AS error FROM r)", "finding"))
 def complexity(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = catalog.typed_graph(_endpoints(spark, d))
     found = T.findings(spark, d).select(F.concat(F.lit("NATION_"), (F.col("id") % 25).cast("string")).alias("service"), "severity")
-    return catalog.complexity(nodes, edges, found)
+    return catalog.complexity(nodes, edges, found).fillna(-1, ["info", "warning", "error"])
 
 
 # Resolution
@@ -712,14 +713,14 @@ def openapi_contracts(spark: SparkSession, d: str) -> DataFrame:
     return manifests.openapi_routes(_files(spark, d, F.concat(F.lit("api"), k, F.lit(".json")), text, "supplier"))
 
 
-@query("SELECT 'Deployment' AS kind, 'ns' || n_regionkey AS namespace, n_name AS name, CAST(n_nationkey AS INTEGER) AS replicas, CASE WHEN n_nationkey % 2 = 0 THEN 250 + n_nationkey * 1000 ELSE 250 END AS cpu_request_millicores, CAST(NULL AS BIGINT) AS cpu_limit_millicores, CASE WHEN n_nationkey % 2 = 0 THEN 64 * 1048576 END AS memory_request_bytes, CASE WHEN n_nationkey % 3 = 0 THEN 1000000000 END AS memory_limit_bytes FROM nation")
+@query("SELECT 'Deployment' AS kind, 'ns' || n_regionkey AS namespace, n_name AS name, CAST(n_nationkey AS INTEGER) AS replicas, CASE WHEN n_nationkey % 2 = 0 THEN 250 + n_nationkey * 1000 ELSE 250 END AS cpu_request_millicores, -1 AS cpu_limit_millicores, CASE WHEN n_nationkey % 2 = 0 THEN 64 * 1048576 ELSE -1 END AS memory_request_bytes, CASE WHEN n_nationkey % 3 = 0 THEN 1000000000 ELSE -1 END AS memory_limit_bytes FROM nation")
 def workload_lists(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey").cast("string")
     second = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(',{"resources":{"requests":{"cpu":"'), k, F.lit('","memory":"64Mi"}}}'))).otherwise("")
     limits = F.when(F.col("n_nationkey") % 3 == 0, ',"limits":{"memory":"1G"}').otherwise(',"limits":{"memory":"lots"}')
     item = F.concat(F.lit('{"kind":"Deployment","metadata":{"name":"'), "n_name", F.lit('","namespace":"ns'), F.col("n_regionkey").cast("string"), F.lit('"},"spec":{"replicas":'), k, F.lit(',"template":{"spec":{"containers":[{"resources":{"requests":{"cpu":"250m"}'), limits, F.lit("}}"), second, F.lit("]}}}}"))
     texts = _T(spark, d, "nation").agg(F.concat(F.lit('{"items":['), F.array_join(F.collect_list(item), ","), F.lit("]}")).alias("text"))
-    return manifests.workloads(texts)
+    return manifests.workloads(texts).fillna(-1)
 
 
 _POM = "SELECT 'm/' || n_name AS folder, 'art-' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN '1.' || n_nationkey ELSE 'p' || n_regionkey END AS version, 'dep' || n_regionkey AS dependencies, 'maven' AS build FROM nation"

@@ -88,7 +88,7 @@ def _packs(batches: Iterator[pa.RecordBatch], pack_tokens: int) -> Iterator[pa.R
 
 
 class Level:
-    """The distinct n-grams of one order in a packed row, sorted by history and word."""
+    """The distinct n-grams of one order in a packed row, in the order of their keys."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, start: int) -> None:
         self.keys, self.counts, self.start = keys, counts, start  #: start: the n-gram of start marks alone
@@ -103,9 +103,9 @@ class Packed:
         self.sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         taught = np.repeat(np.array(row["train"], bool), self.sizes)
-        n, stream, start = len(words), self.w, int(np.searchsorted(words, START))
+        stream, start = self.w, int(np.searchsorted(words, START))
         self.end = int(np.searchsorted(words, END))
-        self.levels = [Level(words, np.bincount(stream[taught], minlength=n), start)]
+        self.levels = [Level(words, np.bincount(stream[taught], minlength=len(words)), start)]
         for k in range(2, order + 2):
             below = self.levels[-1]
             hist = np.empty_like(stream)
@@ -114,12 +114,13 @@ class Packed:
             below.held = np.bincount(hist[~taught], minlength=len(below.keys)) > 0
             if k > order:
                 break
-            codes, at = np.unique(np.append(hist * n + self.w, below.start * n + start), return_inverse=True)
+            mixed = splitmix(below.keys + np.uint64(k))
+            keys, at = np.unique(splitmix(np.append(mixed[hist] + words[self.w], mixed[below.start] + words[start])), return_inverse=True)
             at, top = at[:-1], int(at[-1])
-            own = Level(splitmix(splitmix(below.keys + np.uint64(k))[codes // n] + words[codes % n]), np.bincount(at[taught], minlength=len(codes)), top)
-            own.hist, own.lower = (codes // n).astype(np.int32), np.full(len(codes), below.start, np.int32)
-            own.lower[at] = stream
-            del codes, hist
+            own = Level(keys, np.bincount(at[taught], minlength=len(keys)), top)
+            own.hist, own.lower = (np.full(len(keys), below.start, np.int32) for _ in range(2))
+            own.hist[at], own.lower[at] = hist, stream
+            del hist, mixed
             stream = at
             self.levels.append(own)
         self.stream = stream
@@ -134,7 +135,7 @@ class Known:
             own = packed.levels[k - 1]
             open_ = self.open(k, prune)
             answer = (own.counts.astype(np.uint64) << np.uint64(_BITS)) + np.uint64(_WANTED) * own.held.astype(np.uint64) + (own.counts > 0).astype(np.uint64)
-            answer[open_[np.argsort(own.keys[open_])]] = answer_of(row, k, np.uint64)
+            answer[open_] = answer_of(row, k, np.uint64)
             self.totals.append((answer >> np.uint64(_BITS)).astype(np.float64))
             self.marks.append((answer & np.uint64((1 << _BITS) - 1)).astype(np.uint8))
 
@@ -257,8 +258,7 @@ class Model:
         asked_for, needed = self.known.asking(k - 1)
         weight = _weight(*self.sums(k))
         weight[((self.known.marks[k - 2] & _SHARED) > 0)] = 1.0
-        order = np.argsort(self.known.packed.levels[k - 2].keys[asked_for])
-        weight[asked_for[order][needed[order]]] = told[needed[order]]
+        weight[asked_for[needed]] = told[needed]
         over = np.maximum(self.known.followed(k - 1) + (weight < 0), 1)
         self.weights.append(np.where(self.known.followed(k - 1) > 0, np.abs(weight) / over, 1.0))
         self.seen.append(np.where((weight < 0)[own.hist], totals, self.by[k - 1].discounted(totals)) / over[own.hist])
@@ -294,7 +294,6 @@ def _scored(rounds: Rounds, id_type: T.DataType, order: int) -> DataFrame:
 
     def questions(row: dict, known: Known, k: int) -> Iterator[pa.RecordBatch]:
         own, ask = known.packed.levels[k - 1], known.open(k, prune)
-        ask = ask[np.argsort(own.keys[ask])]
         yield from asked(row["pack"], own.keys[ask], own.counts[ask].astype(np.uint32), own.held[ask].astype(np.uint8) if k < order else None, parts)
         rest = np.ones(len(own.keys), bool)
         rest[ask] = False
@@ -320,8 +319,6 @@ def _scored(rounds: Rounds, id_type: T.DataType, order: int) -> DataFrame:
         def ask(row: dict) -> Iterator[pa.RecordBatch]:
             model = model_of(row, k, k - 1)
             keys, (which, needed) = model.known.packed.levels[k - 2].keys, model.known.asking(k - 1)
-            order = np.argsort(keys[which])
-            which, needed = which[order], needed[order]
             freed, seen = (x[which] for x in model.sums(k))
             yield from asked(row["pack"], keys[which], np.where(needed, freed, -1 - freed), seen, parts)
 

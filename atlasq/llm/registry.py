@@ -72,7 +72,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries of the base columns alone, which SQL can state; the queries of the operators add what their methods find.
 BASES = {
-    "base_katz": (op1, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score")]),
+    "base_katz": (op1, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 6) AS base_score"]),
     "base_quality_rules": (op2, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]),
     "base_pii": (op4, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]),
 }
@@ -85,8 +85,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed"))
 
 
-def _base(query: Callable[[SparkSession, str], DataFrame], columns: list) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(spark, sf_dir).select(*columns)
+def _base(query: Callable[[SparkSession, str], DataFrame], columns: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(spark, sf_dir).selectExpr(*columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -86,9 +86,23 @@ def methods_match(a: Column, b: Column) -> Column:
 
 def paths_match(call: Column, serve: Column) -> Column:
     """Whether a called ``METHOD /path`` can be a served one."""
-    a, b = segments(path_of(call)), segments(path_of(serve))
-    known = (path_of(call) != DYNAMIC) & (path_of(serve) != DYNAMIC) & (F.size(a) > 0)
-    return methods_match(method_of(call), method_of(serve)) & known & (segments_match(a, b) | _covers(a, b) | _covers(b, a))
+    known = (path_of(call) != DYNAMIC) & (path_of(serve) != DYNAMIC)
+    return known & routes_match(method_of(call), segments(path_of(call)), method_of(serve), segments(path_of(serve)))
+
+
+def routes_match(call_method: Column, call: Column, serve_method: Column, serve: Column) -> Column:
+    """Whether a called route can be a served one; both are known."""
+    return methods_match(call_method, serve_method) & (F.size(call) > 0) & (segments_match(call, serve) | _covers(call, serve) | _covers(serve, call))
+
+
+def holes(parts: Column) -> Column:
+    """Which segments are holes."""
+    return F.transform(parts, _is_hole)
+
+
+def masked(parts: Column, own: Column, other: Column) -> Column:
+    """Segments, with a hole where either of two routes has one: those of two routes are equal if and only if they match."""
+    return F.zip_with(parts, F.zip_with(own, other, lambda x, y: x | y), lambda x, hole: F.when(hole, F.lit("{}")).otherwise(x))
 
 
 def target_hint(snippet: Column, getter: Column | None = None) -> Column:

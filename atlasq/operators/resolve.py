@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 
+#: Calls, and served routes, that meet in one cell of a join.
+CELL = 512
+
 
 def unique_aliases(names: DataFrame) -> DataFrame:
     """(alias, service) for aliases that mean exactly one service. names: (service, alias)."""
@@ -27,27 +30,66 @@ def ambiguous_aliases(names: DataFrame) -> DataFrame:
 
 
 def rest_edges(endpoints: DataFrame, names: DataFrame) -> DataFrame:
-    """(source, target, call_id, serve_id, topic): calls whose host is one known other service that serves a matching route.
-    The equi join is on the target service; the route only filters."""
-    calls = endpoints.where("role = 'call'").withColumn("alias", E.alias(E.target_hint(F.col("snippet"))))
+    """(source, target, call_id, serve_id, topic): calls whose host is one known other service that serves a matching route, one
+    row for each distinct call and served route. Distinct routes meet first; what matches is then dealt out in cells of at most
+    about CELL calls and CELL served routes, so that no task gets all pairs of a frequent route."""
+    calls, serves = _calls(endpoints, names), _serves(endpoints)
+    n = 4 * int(endpoints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = calls.join(_matching(calls, serves), ["target", "method", "parts"]).drop("method", "parts")
+    route, cell = ["target", "topic"], ["target", "topic", "call_cell", "serve_cell"]
+    sizes = a.groupBy(route).agg(F.ceil(F.count("*") / CELL).alias("calls")).join(serves.groupBy(route).agg(F.ceil(F.count("*") / CELL).alias("serves")), route)
+
+    def dealt(df: DataFrame, own: str, other: str, key: Column) -> DataFrame:
+        out = df.join(sizes, route).withColumn(f"{own}_cell", F.pmod(key, F.col(f"{own}s")))
+        return out.withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1))).drop("calls", "serves").repartition(n, *cell)
+
+    a, b = dealt(a, "call", "serve", F.xxhash64("call_id", "source")), dealt(serves, "serve", "call", F.xxhash64("serve_id"))
+    return a.join(b.hint("shuffle_hash"), cell).select("source", "target", "call_id", "serve_id", "topic")
+
+
+def matched_calls(endpoints: DataFrame, names: DataFrame) -> DataFrame:
+    """(call_id): the calls that have a REST edge, each once, without listing their edges."""
+    calls = _calls(endpoints, names)
+    return calls.join(_matching(calls, _serves(endpoints)), ["target", "method", "parts"], "left_semi").select("call_id").distinct()
+
+
+def _calls(endpoints: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, target, call_id, method, parts): calls of a known route of one known other service; those that are alike once."""
+    calls = endpoints.where((F.col("role") == "call") & (E.path_of(F.col("topic")) != E.DYNAMIC)).withColumn("alias", E.alias(E.target_hint(F.col("snippet"))))
     calls = calls.join(unique_aliases(names), "alias").where(F.col("service") != F.col("system"))
-    calls = calls.select(F.col("system").alias("source"), F.col("service").alias("target"), F.col("id").alias("call_id"), F.col("topic").alias("call_topic"))
-    serves = endpoints.where("role = 'serve'").select(F.col("system").alias("target"), F.col("id").alias("serve_id"), "topic")
-    return _matching(calls, serves).select("source", "target", "call_id", "serve_id", "topic").dropDuplicates(["call_id", "serve_id"])
+    return calls.select(F.col("system").alias("source"), F.col("service").alias("target"), F.col("id").alias("call_id"), *_route(F.col("topic"))).distinct()
+
+
+def _serves(endpoints: DataFrame) -> DataFrame:
+    """(target, serve_id, topic)"""
+    return endpoints.where("role = 'serve'").select(F.col("system").alias("target"), F.col("id").alias("serve_id"), "topic").distinct()
+
+
+def _route(topic: Column) -> tuple[Column, Column]:
+    return E.method_of(topic).alias("method"), E.segments(E.path_of(topic)).alias("parts")
 
 
 def _matching(calls: DataFrame, serves: DataFrame) -> DataFrame:
-    """calls(target, call_topic) with the matching served topics of their target. Routes of equal length meet by that length,
-    too; only those that end in ``**`` meet all of a service."""
-    def parted(df: DataFrame, topic: str, prefix: str) -> DataFrame:
-        parts = E.segments(E.path_of(F.col(topic)))
-        return df.withColumn("n_segments", F.size(parts)).withColumn(f"{prefix}_wild", F.coalesce(F.get(parts, F.size(parts) - 1) == "**", F.lit(False)))
-
-    a, b = parted(calls, "call_topic", "call"), parted(serves, "topic", "serve")
-    same = a.where("NOT call_wild").join(b.where("NOT serve_wild"), ["target", "n_segments"]).drop("n_segments")
+    """(target, method, parts, topic), once each: called routes with the served topics of their target that match. Routes of
+    equal length meet by the segments that neither has as a hole; only those that end in ``**`` meet all of a service."""
+    def parted(df: DataFrame, parts: str, prefix: str) -> DataFrame:
+        own = F.col(parts)
+        return df.withColumn("n_segments", F.size(own)).withColumn(f"{prefix}_wild", F.coalesce(F.get(own, F.size(own) - 1) == "**", F.lit(False))).withColumn(f"{prefix}_holes", E.holes(own))
+
+    def keyed(df: DataFrame, parts: str, own: str, other: str, against: DataFrame) -> DataFrame:
+        """df with the key that it has with each placing of holes that the other side has in routes of its target and length."""
+        return df.join(against.select("target", "n_segments", f"{other}_holes").distinct(), ["target", "n_segments"]).withColumn("key", E.masked(F.col(parts), F.col(f"{own}_holes"), F.col(f"{other}_holes")))
+
+    method, parts = _route(F.col("topic"))
+    served = serves.where(E.path_of(F.col("topic")) != E.DYNAMIC).select("target", "topic", method.alias("serve_method"), parts.alias("serve_parts")).distinct()
+    a, b = parted(calls.select("target", "method", "parts").distinct(), "parts", "call"), parted(served, "serve_parts", "serve")
+    tame, tamed = a.where("NOT call_wild"), b.where("NOT serve_wild")
+    same = keyed(tame, "parts", "call", "serve", tamed).join(keyed(tamed, "serve_parts", "serve", "call", tame), ["target", "n_segments", "call_holes", "serve_holes", "key"])
+    found = ["target", "method", "parts", "topic", "serve_method", "serve_parts"]
     wild = a.drop("n_segments").join(b.where("serve_wild").drop("n_segments"), "target")
-    other = a.where("call_wild").drop("n_segments").join(b.where("NOT serve_wild").drop("n_segments"), "target")
-    return same.unionByName(wild).unionByName(other).where(E.paths_match(F.col("call_topic"), F.col("topic")))
+    other = a.where("call_wild").drop("n_segments").join(tamed.drop("n_segments"), "target")
+    out = same.select(found).unionByName(wild.select(found)).unionByName(other.select(found))
+    return out.where(E.routes_match(F.col("method"), F.col("parts"), F.col("serve_method"), F.col("serve_parts"))).select("target", "method", "parts", "topic")
 
 
 def configured_resource_edges(endpoints: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from atlasq.functions import expr as E
+
 from atlasq.operators import catalog, graph, incremental, resolve, rules, search, telemetry, traces
 
 
@@ -26,6 +28,28 @@ def test_rest_edges_need_a_known_host_and_a_matching_route(spark):
     assert rows(resolve.ambiguous_aliases(both)) == [("b", 2)]
 
 
+def test_rest_edges_are_all_pairs_that_match(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CELL", 3)
+    routes = ["/x/{id}", "/x/1", "/{a}/1", "/{a}/{b}", "/x/**", "/x", "/", "/y/2?z=1", "/y//2/", "**", "<dynamic>", "/x/{}", "/x/{1", "/a/b/c"]
+    methods = ["GET", "POST", "ANY"]
+    facts = [(role, system, f"{methods[(i + k) % 3]} {route}", f"http://{host}/") for k in range(3) for i, route in enumerate(routes) for role, system, host in (("call", "a", "b"), ("call", "c", "b"), ("serve", "b", "b"), ("call", "b", "b"))]
+    ends = endpoints(spark, *facts)
+    ends = ends.union(ends.where("id in ('e0', 'e2')"))  # repeated rows are one
+    calls = ends.where("role = 'call' AND system <> 'b'").select(F.col("system").alias("source"), F.col("id").alias("call_id"), F.col("topic").alias("called"))
+    serves = ends.where("role = 'serve'").select(F.col("id").alias("serve_id"), "topic")
+    expected = calls.crossJoin(serves).where(E.paths_match(F.col("called"), F.col("topic"))).select("source", F.lit("b").alias("target"), "call_id", "serve_id", "topic").distinct()
+    found = resolve.rest_edges(ends, names(spark, "a", "b", "c"))
+    assert rows(found) == rows(expected) and found.count() > 100
+    assert rows(resolve.matched_calls(ends, names(spark, "a", "b", "c"))) == rows(expected.select("call_id").distinct())
+
+
+def test_routes_of_many_endpoints_meet_once(spark):
+    facts = endpoints(spark, *[("call", "a", f"GET /x/{i % 4}", "http://b") for i in range(60)], *[("serve", "b", "GET /x/{id}", "") for _ in range(50)])
+    calls, serves = resolve._calls(facts, names(spark, "a", "b")), resolve._serves(facts)
+    assert resolve._matching(calls, serves).count() == 4
+    assert resolve.rest_edges(facts, names(spark, "a", "b")).distinct().count() == 3000
+
+
 def test_topic_edges_leave_dynamic_topics(spark):
     facts = endpoints(spark, ("produce", "a", "t", ""), ("consume", "b", "t", ""), ("consume", "a", "t", ""), ("produce", "a", "<dynamic>", ""), ("consume", "b", "<dynamic>", ""))
     edges = resolve.topic_edges(facts)

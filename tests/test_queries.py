@@ -32,3 +32,13 @@ def test_queries_give_what_their_sql_gives(spark, tables, name):
 def test_entry_and_rows_only_queries(spark):
     assert queries.entry(spark, DATA).count() > 0
     assert all(queries.QUERIES[name](spark, DATA).count() > 0 for name in set(queries.QUERIES) - set(queries.ORACLES))
+
+
+@pytest.mark.parametrize("name", ["route_match", "unmatched_calls"])
+def test_pages_of_one_id_are_calls_each(spark, tmp_path, name):
+    urls = ["http://h.x/en/7", "http://h.x/en/8/", "http://h.x/en/8", "http://h.x/fr/1", "http://h.x/fr/2", "http://k.x/en/9"]
+    pd.DataFrame({"page_id": [2, 2, 2, 1, 3, 4], "url": [urls[0], urls[1], urls[2], urls[0], urls[1], urls[5]]}).to_parquet(tmp_path / "pages.parquet")
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    expected = plain(own.sql(queries.ORACLES[name]).df())
+    assert expected and plain(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == expected

@@ -153,7 +153,7 @@ def route_match(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("SELECT system, id FROM rest WHERE role = 'call' AND id NOT IN (SELECT call_id FROM r)", "rest", m=_MATCH, r=_ROUTE))
 def unmatched_calls(spark: SparkSession, d: str) -> DataFrame:
     endpoints = T.rest_endpoints(spark, d)
-    found = rules.unmatched_calls(endpoints.where("role = 'call'"), route_match(spark, d))
+    found = rules.unmatched_calls(endpoints.where("role = 'call'"), resolve.matched_calls(endpoints, T.host_names(spark, d)))
     return found.select(F.col("subject").alias("system"), F.col("detail").cast("long").alias("id"))
 
 

@@ -38,7 +38,7 @@ from .packs import ASKED, Rounds, answer_of, asked, batch_of, gathered, pack, to
 from .shared import SPACED, Words, materialise, places, slices, splitmix
 
 #: Words in a unit that goes by itself in the query, words in a run, and bytes of text in a pack.
-SEED, RUN, PACK_BYTES = 4, 12, 8_000_000
+SEED, RUN, PACK_BYTES = 4, 12, 4_000_000
 
 _PACKED = "pack bigint, n_keys bigint, ids array<{kind}>, ranks array<bigint>, texts array<string>, n_units binary, digests binary, starts binary, ends binary, words binary, n_more binary, more_digests binary, more_starts binary, more_ends binary, more_kinds binary"
 _RESULT = "id {kind}, n_units bigint, n_removed bigint, removed array<struct<start:int,end:int>>, text string"

@@ -1,6 +1,9 @@
 import collections
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from atlasq.llm import unit_dedup
@@ -131,3 +134,14 @@ def test_units_between_repeats_stay(spark):
     before, after = "One sentence that many texts have got.", "Another sentence that many texts have got."
     got = whole(spark, [f"{before} Yes {k}. {after}" for k in range(3)])
     assert [x.split() for x in got[1:]] == [["Yes", "1."], ["Yes", "2."]]
+
+
+def test_rows_of_packs_are_small(monkeypatch):
+    """A row goes through several buffers of an executor at once."""
+    monkeypatch.setattr(unit_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = np.char.mod("w%d", np.random.default_rng(1).integers(0, 10**6, 300))
+    texts = pa.array([" ".join(np.roll(words, i)) + "." for i in range(8000)])
+    ids = pa.array(range(len(texts)), pa.int64())
+    rows = list(unit_dedup._packs(iter([pa.RecordBatch.from_arrays([ids, ids, texts], names=["id", "rank", "text"])]), True, unit_dedup.PACK_BYTES))
+    assert sum(len(r.column("ids")[0]) for r in rows) == len(texts)
+    assert max(r.nbytes for r in rows) < 6_000_000

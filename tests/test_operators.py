@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from atlasq.functions import expr as E
-
 from atlasq.operators import catalog, graph, incremental, resolve, rules, search, telemetry, traces
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import besides
+from .shared import besides, keeps
 
 #: Distinct pre-tokens that a Python worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 650_000, 64
@@ -66,6 +66,12 @@ class Tokenizer:
         self.unreachable = frozenset(t for t in self.bytes_of if self.split(t) == UNREACHABLE)
         self.memory = _Memory(self)
 
+    def forget(self) -> None:
+        """Gives up what was remembered of pre-tokens."""
+        self.memory.clear()
+        self.stems.clear()
+        self.stable.clear()
+
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte; UNREACHABLE if merges never make it."""
         if token not in self.halves:
@@ -223,7 +229,9 @@ class EditableText:
 @lru_cache(maxsize=2)
 def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
     """One tokenizer for each Python process."""
-    return Tokenizer(ranks_path, pattern)
+    own = Tokenizer(ranks_path, pattern)
+    keeps(own.forget)
+    return own
 
 
 #: What encode can append, with its type.

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import SPACED, Words, forget, materialise, own_names, plain_names, scratch, slices, splitmix
+from .shared import SPACED, Words, forget, materialise, own_names, plain_names, release, scratch, slices, splitmix
 
 #: Words in a shingle, and the least similarity of a link.
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -112,6 +112,7 @@ def keyed(docs: DataFrame, with_bands: bool) -> DataFrame:
     """docs(id, text) as (id, key, text_hash, bands): key is the digest of the shingle set."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i, texts in slices(batch.column(1)):
                 values, starts = shingle_sets(texts)
@@ -127,6 +128,7 @@ def keyed(docs: DataFrame, with_bands: bool) -> DataFrame:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, key, block, copies): the sets and MinHash values of those whose text has that key."""
+    release()
     for batch in batches:
         for i, texts in slices(batch.column(0)):
             part = batch.slice(i, len(texts))

@@ -10,7 +10,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,22 @@ def scale(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: What gives up the memory that operators keep in this Python process from task to task.
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(forget: Callable[[], None]) -> None:
+    """Tells how to give up what an operator remembers here."""
+    _kept.append(forget)
+
+
+def release() -> None:
+    """Gives up what other operators remember here: a Python worker is used for one stage after another."""
+    for forget_own in _kept:
+        forget_own()
+    pa.default_memory_pool().release_unused()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import tiktoken
 
-from atlasq.llm import bpe
+from atlasq.llm import bpe, near_duplicates
 from atlasq.llm.registry import byte_bpe
+from atlasq.llm.shared import release
 
 PIECES = ["a", "aa", "aaa", " ", "  ", "\n", "é", "日本", "0", "!!", "the", "ing", "'s", "\x00", "🎉", "zq", "\t"]
 
@@ -60,3 +62,30 @@ def test_columns(odd):
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
         assert r["lang"] == "own"
     assert bpe.op8_bpe(odd.where("false"), *byte_bpe()).count() == 0
+
+
+def test_other_stages_get_back_the_memory_of_a_worker(spark):
+    """A worker that has encoded texts keeps nothing of them when near duplicates use it."""
+    own = bpe.tokenizer(*byte_bpe())
+    own.encode(" ".join(f"word{i} longerword{i}thanothers" for i in range(500)))
+    assert len(own.memory) > 500 and own.stable
+    release()
+    assert not own.memory and not own.stems and not own.stable
+    assert own.decode(own.encode("again the same")) == b"again the same"
+
+    def encode(batches):
+        for batch in batches:
+            bpe.tokenizer(*byte_bpe()).encode("a text of some words")
+            yield batch
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(bpe.tokenizer(*byte_bpe()).memory)]})
+
+    rows = spark.range(1).coalesce(1)
+    rows.mapInArrow(encode, "id bigint").collect()
+    before = rows.mapInArrow(held, "n bigint").first()[0]
+    docs = spark.createDataFrame([(1, "one text of words")], "id bigint, text string").coalesce(1)
+    for _ in range(8):  # every idle worker
+        near_duplicates.keyed(docs, with_bands=False).collect()
+    assert rows.mapInArrow(held, "n bigint").first()[0] < max(1, before)

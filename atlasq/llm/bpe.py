@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import besides, keeps
+from .shared import besides, idles, keeps
 
 #: Distinct pre-tokens that a Python worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 650_000, 64
@@ -252,7 +252,8 @@ def _made(pieces: list[Piece], output: str) -> list[int] | int | str:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: list[str] | None = None) -> DataFrame:
     """Encodes each whole text and appends the outputs to df, or to its columns ``keep``: the ids, how many there are, the
     SHA-256 of the decimal ids joined by single spaces, or that of the bytes that the ids decode to. One pass, one
-    Python worker a task; a worker's memory is bounded by REMEMBERED pre-tokens and by PART texts."""
+    Python worker a task; a worker's memory is bounded by REMEMBERED pre-tokens and by PART texts, and an idle worker forgets the
+    pre-tokens."""
     kept = besides(df.columns if keep is None else keep, outputs)
     at, kept_at = df.columns.index(text_col), [df.columns.index(c) for c in kept]
     names = [*kept, *outputs]
@@ -270,7 +271,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 made = [pa.array(c, _ARROW[o]) for c, o in zip(columns, outputs)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept_at), *made], names=names)
 
-    return df.mapInArrow(step, T.StructType([*(df.schema.fields[k] for k in kept_at), *(T.StructField(o, OUTPUTS[o]) for o in outputs)]))
+    return df.mapInArrow(idles(step), T.StructType([*(df.schema.fields[k] for k in kept_at), *(T.StructField(o, OUTPUTS[o]) for o in outputs)]))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -103,6 +104,37 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+#: Seconds after a task that keeps memory at which an idle Python worker gives it up. A worker lives on while later stages run
+#: without Python, and its executor has to hold both.
+IDLE_S = 10
+_idle: list[threading.Timer] = []
+
+
+def _awake() -> None:
+    while _idle:
+        _idle.pop().cancel()
+
+
+def _asleep(seconds: float) -> None:
+    _idle.append(threading.Timer(seconds, release))
+    _idle[-1].daemon = True
+    _idle[-1].start()
+
+
+def idles(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], seconds: float = IDLE_S) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step of mapInArrow, of an operator that keeps memory from task to task: if no other such task follows in this
+    process within some seconds, all goes."""
+
+    def watched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _awake()
+        try:
+            yield from step(batches)
+        finally:
+            _asleep(seconds)
+
+    return watched
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 import tiktoken
 
 from atlasq.llm import bpe, near_duplicates
 from atlasq.llm.registry import byte_bpe
-from atlasq.llm.shared import release
+from atlasq.llm.shared import idles, release
 
 PIECES = ["a", "aa", "aaa", " ", "  ", "\n", "é", "日本", "0", "!!", "the", "ing", "'s", "\x00", "🎉", "zq", "\t"]
 
@@ -89,3 +90,38 @@ def test_other_stages_get_back_the_memory_of_a_worker(spark):
     for _ in range(8):  # every idle worker
         near_duplicates.keyed(docs, with_bands=False).collect()
     assert rows.mapInArrow(held, "n bigint").first()[0] < max(1, before)
+
+
+def test_an_idle_worker_gives_back_its_memory(spark, monkeypatch):
+    """What a worker remembers goes while stages without Python follow, not at once."""
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(bpe.tokenizer(*byte_bpe()).memory)]})
+
+    def most():
+        return max(spark.range(1).coalesce(1).mapInArrow(held, "n bigint").collect()[0][0] for _ in range(8))  # in every idle worker
+
+    monkeypatch.setattr(bpe, "idles", lambda step: idles(step, 5.0))
+    rows = spark.createDataFrame([("a text of some words",)], "text string").coalesce(1)
+    assert [r[0] for _ in range(8) for r in bpe.encode(rows, *byte_bpe(), outputs=("n_tokens",), keep=[]).collect()] == [5] * 8
+    assert most() > 0
+    time.sleep(7)
+    assert most() == 0
+
+
+def test_a_task_in_time_keeps_the_memory():
+    own = bpe.tokenizer(*byte_bpe())
+
+    def step(batches):
+        for batch in batches:
+            own.encode("a text of some words")
+            yield batch
+
+    for _ in range(4):
+        assert list(idles(step, 0.6)([1])) == [1]
+        time.sleep(0.3)
+    assert own.memory
+    time.sleep(1.2)
+    assert not own.memory and not own.stems and not own.stable
+    assert own.decode(own.encode("again the same")) == b"again the same"

@@ -69,14 +69,15 @@ def more_relations(endpoints: DataFrame, dependencies: DataFrame, methods: DataF
 
 def unresolved(endpoints: DataFrame, rest: DataFrame, limit: int = 20) -> DataFrame:
     """(list, module, topic, role, path, line, truncated): dynamic topics, untyped messages and unmatched calls, the first
-    ``limit`` of each by module, topic, path and line."""
+    ``limit`` of each by module, topic, path and line; ties go by message type (null last), role and id."""
     kafka = endpoints.where(F.col("role").isin("produce", "consume"))
     calls = endpoints.where("role = 'call'").join(rest.select(F.col("call_id").alias("id")).distinct(), "id", "left_anti")
     columns = ["module", "topic", "role", "path", F.col("start_line").alias("line")]
     out = None
     for name, rows in (("dynamic_kafka_topics", kafka.where("topic_dynamic")), ("unknown_kafka_message_types", kafka.where("message_type IS NULL")), ("unmatched_http_calls", calls)):
         n = F.broadcast(rows.agg((F.count("*") > limit).alias("truncated")))  # one row
-        one = rows.select(F.lit(name).alias("list"), *columns).orderBy("module", "topic", "path", "line").limit(limit).crossJoin(n)
+        first = rows.orderBy("module", "topic", "path", "start_line", F.asc_nulls_last("message_type"), "role", "id").limit(limit)
+        one = first.select(F.lit(name).alias("list"), *columns).crossJoin(n)
         out = one if out is None else out.union(one)
     return out
 

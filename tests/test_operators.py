@@ -163,3 +163,16 @@ def test_catalog(spark):
     assert [r["path"] for r in own.flows("t").collect()] == ["t > c"]
     found = catalog.relations(facts, own.rest_edges(), own.topic_edges())
     assert {r["relation"]: r["n"] for r in catalog.coverage(found).collect()} == {"publishes": 1, "consumes": 1, "provides": 1, "calls": 1, "calls_service": 1, "publishes_to": 1}
+
+
+def test_unresolved_lists_cut_ties_alike_in_any_order(spark):
+    kind = "id string, module string, topic string, role string, path string, start_line int, topic_dynamic boolean, message_type string"
+    rows = [(f"{role}{kept}", "m", "t", role, "p", 7, True, kept) for role in ("produce", "consume") for kept in ("A", "B", None)]
+    none = spark.createDataFrame([], "call_id string")
+
+    def lists(own):
+        return sorted((r["list"], r["role"]) for r in catalog.unresolved(spark.createDataFrame(own, kind).coalesce(1), none, limit=3).collect())
+
+    dynamic, untyped = "dynamic_kafka_topics", "unknown_kafka_message_types"
+    expected = [(dynamic, "consume"), (dynamic, "consume"), (dynamic, "produce"), (untyped, "consume"), (untyped, "produce")]
+    assert lists(rows) == lists(rows[::-1]) == lists(rows[3:] + rows[:3]) == expected
